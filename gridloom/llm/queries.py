@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import ann, line_dedup, sharding, simhash
+from gridloom.llm import ann, html_extract, line_dedup, sharding, simhash, sp_tokens
+
+
+SP_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +26,14 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(_table(spark, sf_dir, "pages"))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp_tokens.encode_texts(_table(spark, sf_dir, "documents"), SP_MODEL).select("doc_id", "n_tokens", "token_ids", "parity", "round_trip")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(_table(spark, sf_dir, "documents"), min_docs=10)
 
@@ -32,7 +43,7 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_sharding, op5_line_dedup, op9_nearest_neighbours)}
+    return {f.__name__: f for f in (op1_simhash, op2_sharding, op3_html_extraction, op4_sentencepiece, op5_line_dedup, op9_nearest_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
