@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import ann, html_extract, line_dedup, sharding, simhash, sp_tokens, toxicity
+from gridloom.llm import ann, decontam, html_extract, line_dedup, sharding, simhash, sp_tokens, toxicity
 
 
 SP_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -38,6 +38,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(_table(spark, sf_dir, "documents"), min_docs=10)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), error_rate=0.05)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
 
@@ -47,7 +51,7 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_sharding, op3_html_extraction, op4_sentencepiece, op5_line_dedup, op7_toxicity, op9_nearest_neighbours)}
+    return {f.__name__: f for f in (op1_simhash, op2_sharding, op3_html_extraction, op4_sentencepiece, op5_line_dedup, op6_decontamination, op7_toxicity, op9_nearest_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
