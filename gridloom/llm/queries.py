@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import ann, decontam, html_extract, line_dedup, sharding, simhash, sp_tokens, toxicity
+from gridloom.llm import ann, decontam, html_extract, line_dedup, rlz_dedup, sharding, simhash, sp_tokens, suffix_dedup, toxicity
 
 
 SP_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -46,12 +46,22 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeated_bytes(_table(spark, sf_dir, "documents")).report()
+    return found.select("doc_id", F.col("n").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"), k=5, query_step=50)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rlz_dedup.repeated_words(_table(spark, sf_dir, "documents")).report()
+    return found.select("doc_id", F.col("n").alias("n_words"), "n_removed", "kept_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_sharding, op3_html_extraction, op4_sentencepiece, op5_line_dedup, op6_decontamination, op7_toxicity, op9_nearest_neighbours)}
+    return {f.__name__: f for f in (op1_simhash, op2_sharding, op3_html_extraction, op4_sentencepiece, op5_line_dedup, op6_decontamination, op7_toxicity, op8_suffix_dedup, op9_nearest_neighbours, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
