@@ -102,7 +102,7 @@ def build_tokenizer(model: SpModel):
         raise ValueError("this kind of model has no counterpart in the tokenizers library")
     if model.kind == BPE:
         vocabulary = {p: i for i, (p, _, _) in enumerate(model.pieces)}
-        core = models.BPE(vocabulary, _merges(model), unk_token=model.pieces[model.unknown][0], fuse_unk=True, byte_fallback=model.byte_fallback, cache_capacity=200_000)
+        core = models.BPE(vocabulary, _merges(model), unk_token=model.pieces[model.unknown][0], fuse_unk=True, byte_fallback=model.byte_fallback, cache_capacity=10_000)
     else:
         # Pieces that a text may not match get a score that keeps them off every best path.
         core = models.Unigram([(p, s if k in (NORMAL, UNKNOWN) else -1e6) for p, s, k in model.pieces], model.unknown, model.byte_fallback)
@@ -235,7 +235,7 @@ def encode_texts(docs: DataFrame, model: str, text_col: str = "text", threads: i
     return by_batch(rows, run, out).toDF(*kept, *added)
 
 
-def _portions(texts: list[str], characters: int = 2_000_000) -> Iterator[list[str]]:
+def _portions(texts: list[str], characters: int = 1_000_000) -> Iterator[list[str]]:
     """The texts in lists of about so many characters, so that encodings don't pile up."""
     part, size = [], 0
     for t in texts:
