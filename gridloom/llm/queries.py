@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import ann, decontam, html_extract, line_dedup, rlz_dedup, sharding, simhash, sp_tokens, suffix_dedup, toxicity
+from gridloom.llm import ann, decontam, html_extract, line_dedup, oracles, rlz_dedup, sharding, simhash, sp_tokens, suffix_dedup, toxicity
 
 
 SP_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -65,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
