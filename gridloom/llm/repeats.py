@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import by_batch, pick, raw_texts, stored
 
-WINDOW, GRAM = 50, 16
-FULL_KEY = 4096
+WINDOW, GRAM = 50, 20
+#: A key of more documents than FULL_KEY is dealt by window, SALT_DOCS documents a salt.
+FULL_KEY, SALT_DOCS = 1024, 64
+_SIZE_BITS = 31
 CHUNK_BYTES = 1 << 20
 ID_ROWS = 4_000_000
 #: (segments, their groups, their documents) to (segment, first token, tokens) of every part that an
@@ -65,19 +67,25 @@ class Words:
         return len(words), b" ".join(words)
 
 
-def window_keys(tokens: np.ndarray) -> np.ndarray:
-    """The key of each window: least mixed hash of the GRAM-grams inside it."""
-    if len(tokens) < WINDOW:
-        return np.empty(0, np.uint64)
-    h, size, base = tokens.astype(np.uint64) + np.uint64(1), 1, 0x9E3779B97F4A7C15
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    while size < GRAM:
-        h = h[:-size] * np.uint64(pow(base, size, 1 << 64)) + h[size:]
+def gram_hashes(tokens: np.ndarray, gram: int) -> np.ndarray:
+    """A 64-bit hash of each run of `gram` tokens: doubled in size, then two overlapping ones joined."""
+    h, size = (tokens.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93), 1
+    while size * 2 <= gram:
+        h = h[:-size] * np.uint64(pow(0x9E3779B97F4A7C15, size, 1 << 64)) + h[size:]
         size *= 2
+    if rest := gram - size:
+        h = h[:-rest] * np.uint64(0xC2B2AE3D27D4EB4F) + h[rest:]
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xFF51AFD7ED558CCD)
     h ^= h >> np.uint64(29)
-    span, wanted = 1, WINDOW - GRAM + 1
+    return h
+
+
+def window_keys(tokens: np.ndarray) -> np.ndarray:
+    """The key of each window: least hash of the GRAM-grams inside it."""
+    if len(tokens) < WINDOW:
+        return np.empty(0, np.uint64)
+    h, span, wanted = gram_hashes(tokens, GRAM), 1, WINDOW - GRAM + 1
     while span * 2 <= wanted:
         h = np.minimum(h[:-span], h[span:])
         span *= 2
@@ -85,6 +93,26 @@ def window_keys(tokens: np.ndarray) -> np.ndarray:
     return np.minimum(h[: len(h) - rest], h[rest:]) if rest else h
 
 
+def meeting(tokens: np.ndarray, sizes: list[int], groups: list[int]) -> np.ndarray:
+    """Which of several segments, laid end to end, hold a window that another place of their group may hold too.
+
+    Windows are compared by a hash, so none that is held elsewhere is missed.
+    """
+    ends = np.cumsum(sizes)
+    h = gram_hashes(tokens, WINDOW) if len(tokens) >= WINDOW else np.empty(0, np.uint64)
+    owner = np.repeat(np.arange(len(sizes)), sizes)[: len(h)]
+    inside = np.arange(len(h)) + WINDOW <= ends[owner]
+    h, owner = h[inside], owner[inside]
+    h = h + np.array(groups, np.uint64)[owner] * np.uint64(0x9FB21C651E98DF25)
+    ordered = np.sort(h)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    out = np.zeros(len(sizes), bool)
+    if len(twice):
+        at = np.minimum(np.searchsorted(twice, h), len(twice) - 1)
+        out[owner[twice[at] == h]] = True
+    return out
+
+
 def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, first window, number of windows) of each run of equal keys."""
     starts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1)) if len(keys) else np.empty(0, np.int64)
@@ -113,7 +141,7 @@ def _measured(rows: DataFrame, kind: type) -> DataFrame:
 def _shared_keys(rows: DataFrame, kind: type) -> DataFrame:
     """Rows (d, shared): for each document its keys that another document has too, with the salts of each.
 
-    A key of more than FULL_KEY documents gets a salt for every FULL_KEY of them.
+    A key of more than FULL_KEY documents gets a salt for every SALT_DOCS of them.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -126,7 +154,7 @@ def _shared_keys(rows: DataFrame, kind: type) -> DataFrame:
     keys = by_batch(rows.select("d", "text"), run, "h long, d long")
     same = Window.partitionBy("h")
     met = keys.select("h", "d", F.min("d").over(same).alias("lo"), F.max("d").over(same).alias("hi"), F.count("*").over(same).alias("n")).where("lo < hi")
-    salts = (F.floor((F.col("n") - 1) / FULL_KEY) + 1).cast("int")
+    salts = F.when(F.col("n") > FULL_KEY, F.ceil(F.col("n") / SALT_DOCS)).otherwise(0).cast("int")
     return met.groupBy("d").agg(F.collect_list(F.struct("h", salts.alias("salts"))).alias("shared"))
 
 
@@ -153,11 +181,15 @@ def _segments(joined: DataFrame, kind: type) -> DataFrame:
             for j in np.flatnonzero(own[at] == h):
                 key, start, count, m = int(h[j]), int(starts[j]), int(counts[j]), int(salts[at[j]])
                 # Under a full key each window goes alone, salted by what it holds.
-                for s, n in [(start, count)] if m == 1 else [(start + x, 1) for x in range(count)]:
-                    seg = data[s * w : (s + n + WINDOW - 1) * w]
-                    held = first.setdefault((key, seg), d)
-                    salt = 0 if m == 1 else 1 + xxhash.xxh3_64_intdigest(seg) % m
-                    out.append((key, salt, d, rk, s, n + WINDOW - 1, None if held < d else seg))
+                for s, n in [(start + x, 1) for x in range(count)] if m else [(start, count)]:
+                    seg, size = data[s * w : (s + n + WINDOW - 1) * w], n + WINDOW - 1
+                    if first.setdefault((key, seg), d) == d:
+                        out.append((key, 1 + xxhash.xxh3_64_intdigest(seg) % m if m else 0, d, rk, s, size, seg))
+                    elif out and out[-1][6] is None and out[-1][2:4] == (d, rk) and s <= out[-1][4] + out[-1][5]:
+                        last = out[-1]  # goes on where the mark before it ends
+                        out[-1] = (*last[:5], s + size - last[4], None)
+                    else:
+                        out.append((key, 0, d, rk, s, size, None))
         c = list(zip(*out)) or [()] * 7
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         return pa.record_batch([pa.array(np.array(c[0], np.uint64).view(np.int64)), *(pa.array(x, t) for x, t in zip(c[1:], kinds[1:]))], names=[f.split()[0] for f in SEGMENT.split(", ")])
@@ -165,12 +197,15 @@ def _segments(joined: DataFrame, kind: type) -> DataFrame:
     return by_batch(joined, run, SEGMENT)
 
 
-def _matched(stream: DataFrame, match: Matcher) -> DataFrame:
-    """Rows (d, rk, start, size): the parts of segments that an earlier document has.
+def _span(start: int, size: int) -> int:
+    return start << _SIZE_BITS | size
+
+
+def _matched(stream: DataFrame, match: Matcher, width: int) -> DataFrame:
+    """Rows (d, rk, span): the parts of segments that an earlier document has, packed by _span.
 
     The stream comes sorted by key, salt and document. Whole groups are matched together,
-    as many as make CHUNK_BYTES; a group holds FULL_KEY documents at most, or under a full
-    key the windows of one salt.
+    as many as make CHUNK_BYTES; FULL_KEY and SALT_DOCS bound the documents of a group.
     """
 
     def solved(rows: list[tuple]) -> pa.RecordBatch:
@@ -179,58 +214,68 @@ def _matched(stream: DataFrame, match: Matcher) -> DataFrame:
         for h, salt, d, rk, start, size, seg in rows:
             if (h, salt) != last:
                 group, last, index = group + 1, (h, salt), {}
-            if seg in index:
-                at = index[seg]
-                if docs[at] < d:
-                    out.append((d, rk, start, size))
-                else:
-                    same[at].append((rk, start))
-            else:
+            at = index.get(seg)
+            if at is None:
                 index[seg] = len(segs)
                 segs.append(seg)
                 groups.append(group)
                 docs.append(d)
                 same.append([(rk, start)])
+            elif docs[at] < d:
+                out.append((d, rk, _span(start, size)))
+            else:
+                same[at].append((rk, start))
         several = np.bincount(groups, minlength=group + 1)[groups] > 1 if segs else np.empty(0, bool)
         at = np.flatnonzero(several).tolist()
-        for i, begin, size in match([segs[i] for i in at], [groups[i] for i in at], [docs[i] for i in at]):
-            out += [(docs[at[i]], rk, start + begin, size) for rk, start in same[at[i]]]
+        if at:
+            tokens = np.frombuffer(b"".join([segs[i] for i in at]), np.uint8 if width == 1 else np.uint64)
+            met = meeting(tokens, [len(segs[i]) // width for i in at], [groups[i] for i in at])
+            at = [i for i, m in zip(at, met.tolist()) if m]
+        if at:
+            for i, begin, size in match([segs[i] for i in at], [groups[i] for i in at], [docs[i] for i in at]):
+                out += [(docs[at[i]], rk, _span(start + begin, size)) for rk, start in same[at[i]]]
         return made(out)
 
     def made(out: list[tuple]) -> pa.RecordBatch:
-        c = list(zip(*out)) or [()] * 4
-        return pa.record_batch([pa.array(x, pa.int64()) for x in c], names=["d", "rk", "start", "size"])
+        c = list(zip(*out)) or [()] * 3
+        return pa.record_batch([pa.array(x, pa.int64()) for x in c], names=["d", "rk", "span"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
         for batch in batches:
-            done = []
+            resolved = batch.filter(batch.column(6).is_null())
+            if resolved.num_rows:
+                d, rk, start, n = (resolved.column(i).to_numpy() for i in (2, 3, 4, 5))
+                yield pa.record_batch([pa.array(d), pa.array(rk), pa.array(start << _SIZE_BITS | n)], names=["d", "rk", "span"])
+            batch = batch.filter(batch.column(6).is_valid())
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[6] is None:
-                    done.append(row[2:6])
-                    continue
                 if size >= CHUNK_BYTES and row[:2] != held[-1][:2]:
                     yield solved(held)
                     held, size = [], 0
                 held.append(row)
                 size += len(row[6])
-            if done:
-                yield made(done)
         if held:
             yield solved(held)
 
-    return stream.mapInArrow(run, "d long, rk long, start long, size long")
+    return stream.mapInArrow(run, "d long, rk long, span long")
 
 
-def _covered(n: int, spans: list[dict]) -> np.ndarray:
-    edge = np.zeros(n + 1, np.int64)
-    for s in spans:
-        edge[s["start"]] += 1
-        edge[s["start"] + s["size"]] -= 1
+def _covered(n: int, spans: np.ndarray) -> np.ndarray:
+    edge = np.zeros(n + 1, np.int32)
+    if len(spans):
+        starts = spans >> _SIZE_BITS
+        np.add.at(edge, starts, 1)
+        np.add.at(edge, starts + (spans & ((1 << _SIZE_BITS) - 1)), -1)
     return np.cumsum(edge[:-1]) > 0
 
 
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    """Each list of longs as an array; null as an empty one."""
+    values, sizes = column.flatten().to_numpy(), column.value_lengths().fill_null(0).to_numpy()
+    return np.split(values, np.cumsum(sizes)[:-1])
+
+
 class Repeats:
     """The repeated passages of a table of documents, by (d, rk): document and hash of document and text.
 
@@ -253,8 +298,8 @@ class Repeats:
         sent = _segments(texts.join(shared, "d").select("d", "rk", "text", "shared"), kind)
         parts = max(self.rows.sparkSession.sparkContext.defaultParallelism, int(self.rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         stream = sent.repartition(parts, "h", "salt").sortWithinPartitions("h", "salt", "d")
-        found = _matched(stream, match)
-        self.marks = stored(found.groupBy("d", "rk").agg(F.collect_set(F.struct("start", "size")).alias("spans")), "marks")
+        found = _matched(stream, match, kind.width)
+        self.marks = stored(found.groupBy("d", "rk").agg(F.collect_list("span").alias("spans")), "marks")
 
     def report(self) -> DataFrame:
         """Rows (doc_id, n, n_removed, n_spans, kept_sha256), one for each row of the table."""
@@ -262,7 +307,7 @@ class Repeats:
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             out = []
-            for text, spans in zip(raw_texts(batch.column(1)), batch.column(2).to_pylist()):
+            for text, spans in zip(raw_texts(batch.column(1)), _lists(batch.column(2))):
                 n, _ = kind.whole(text)
                 gone = _covered(n, spans)
                 starts = int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum())
@@ -284,9 +329,9 @@ class Repeats:
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             out = []
-            for text, spans, copy in zip(raw_texts(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for text, spans, copy in zip(raw_texts(batch.column(1)), _lists(batch.column(2)), batch.column(3).to_pylist()):
                 n, plain = kind.whole(text)
-                out.append(b"" if copy else kind.kept(text, ~_covered(n, spans)) if spans else plain)
+                out.append(b"" if copy else kind.kept(text, ~_covered(n, spans)) if len(spans) else plain)
             return pa.record_batch([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "kept"])
 
         return by_batch(whole, run, "doc_id long, kept binary")
