@@ -21,6 +21,15 @@ def ranked(df: DataFrame, bucket: Column, order: list[Column], name: str = "new_
     return rows.withColumn("__inner", inner).join(offsets, "__bucket").withColumn(name, (F.col("__before") + F.col("__inner")).cast("long")).drop("__bucket", "__before", "__inner")
 
 
+def spread(df: DataFrame, key: str, parts: int = 4096) -> Column:
+    """A bucket expression for ranked: `parts` equal ranges of an integer key, whose ends one job reads."""
+    low, high = df.agg(F.min(key), F.max(key)).first()
+    if low is None:
+        return F.lit(0).cast("long")
+    width = -(-(high - low + 1) // parts)
+    return F.floor((F.col(key) - low) / width)
+
+
 def running_before(df: DataFrame, key: str, value: Column, name: str, width: int = 1 << 16) -> DataFrame:
     """df with the sum of `value` over all rows of a smaller key (a dense long)."""
     rows = df.withColumn("__value", value).withColumn("__bucket", F.floor(F.col(key) / width))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import sfc
-from gridloom.functions.ranking import ranked
+from gridloom.functions.ranking import ranked, running_before
 from gridloom.operators.incidence import incidence, remapped
 from gridloom.topology import TET_EDGES
 
@@ -118,8 +118,6 @@ def run_labels(rows: DataFrame, order: str, label: str) -> DataFrame:
     Run starts are found by joining each row to the one before; their running count goes
     through buckets.
     """
-    from gridloom.functions.ranking import running_before
-
     prior = rows.select((F.col(order) + 1).alias(order), F.col(label).alias("__prior"))
     starts = rows.join(prior, order, "left").withColumn("__start", (~F.col(label).eqNullSafe(F.col("__prior"))).cast("long"))
     return running_before(starts, order, F.col("__start"), "__runs").withColumn("run", F.col("__runs") + F.col("__start")).drop("__prior", "__start", "__runs")

@@ -76,8 +76,7 @@ def mesh_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def mesh_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = Mesh(spark, sf_dir)
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{base}/roundtrip-{uuid.uuid4().hex}"
+    path = session.scratch(spark, "roundtrip")
     mesh_io.write_mesh(path, {"vertices": m.ver, "tetrahedra": m.tet})
     read = mesh_io.read_mesh(spark, path, ["vertices", "tetrahedra"])
     v = read["vertices"].select(F.lit("vertex").alias("kind"), "id", F.array((F.col("x") + F.col("y") * 10 + F.col("z") * 100).cast("long")).alias("a"))
@@ -254,8 +253,9 @@ def unique_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def edge_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = Mesh(spark, sf_dir).edges()
-    return ranking.ranked(edges, F.floor(F.col("a") / 256), [F.col("a"), F.col("b")], "pos")
+    m = Mesh(spark, sf_dir)
+    edges = m.edges()
+    return ranking.ranked(edges, F.floor(F.col("a") * 4096 / (m.nv + 1)), [F.col("a"), F.col("b")], "pos")
 
 
 @query
@@ -383,7 +383,7 @@ def composite_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order by part of the label, then by curve code, then by id."""
     cloud = _cloud(spark, sf_dir)
     codes = renumber.codes_3d(cloud).join(_table(spark, sf_dir, "embeddings").select((F.col("vec_id") + 1).alias("id"), F.col("label").cast("long").alias("grain")), "id")
-    return ranking.ranked(codes, F.col("grain"), [F.col("grain"), F.col("code"), F.col("id")]).select(F.col("id").alias("old_id"), "new_id")
+    return ranking.ranked(codes, F.struct("grain", F.shiftright("code", renumber.BUCKET_SHIFT_3D)), [F.col("grain"), F.col("code"), F.col("id")]).select(F.col("id").alias("old_id"), "new_id")
 
 
 @query
@@ -432,19 +432,19 @@ def restore_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def radix_sort_32(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("seq"))
-    return ranking.ranked(rows, F.floor(F.col("key") / 64), [F.col("key"), F.col("seq")], "pos")
+    return ranking.ranked(rows, ranking.spread(rows, "key"), [F.col("key"), F.col("seq")], "pos")
 
 
 @query
 def radix_sort_64(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "orders").select((F.col("o_custkey") * 4294967296 + F.col("o_orderkey") % 1024).alias("key"), F.col("o_orderkey").alias("seq"))
-    return ranking.ranked(rows, F.shiftright("key", 38), [F.col("key"), F.col("seq")], "pos")
+    return ranking.ranked(rows, ranking.spread(rows, "key"), [F.col("key"), F.col("seq")], "pos")
 
 
 @query
 def comparator_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
-    return ranking.ranked(rows, F.col("c_mktsegment"), [F.col("c_mktsegment"), F.desc("c_acctbal"), F.col("c_custkey")], "pos").select("c_custkey", "pos")
+    return ranking.ranked(rows, F.struct("c_mktsegment", F.floor(-F.col("c_acctbal") / 16)), [F.col("c_mktsegment"), F.desc("c_acctbal"), F.col("c_custkey")], "pos").select("c_custkey", "pos")
 
 
 @query

@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 GROWTH = 2
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir, deleted when the application ends.
+
+    Sessions that name no such folder (single machines) get one of their own.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='gridloom-')}"
+    path = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}.meshb"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
 def id_report(df: DataFrame) -> DataFrame:
     """(n, lo, hi, distinct_ids, dense) of column id."""
     stats = df.agg(F.count("id").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.count_distinct("id").alias("distinct_ids"))
