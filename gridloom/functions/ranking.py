@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def div(a: Column, b: Column | int) -> Column:
+    """Integer quotient of non-negative longs, without a detour over doubles."""
+    return F.call_function("div", a, F.lit(b) if isinstance(b, int) else b)
+
+
 def ranked(df: DataFrame, bucket: Column, order: list[Column], name: str = "new_id") -> DataFrame:
     """df with its 1-based rank by `order`.
 
@@ -27,12 +32,12 @@ def spread(df: DataFrame, key: str, parts: int = 4096) -> Column:
     if low is None:
         return F.lit(0).cast("long")
     width = -(-(high - low + 1) // parts)
-    return F.floor((F.col(key) - low) / width)
+    return div(F.col(key) - low, width)
 
 
 def running_before(df: DataFrame, key: str, value: Column, name: str, width: int = 1 << 16) -> DataFrame:
     """df with the sum of `value` over all rows of a smaller key (a dense long)."""
-    rows = df.withColumn("__value", value).withColumn("__bucket", F.floor(F.col(key) / width))
+    rows = df.withColumn("__value", value).withColumn("__bucket", div(F.col(key), width))
     sums = rows.groupBy("__bucket").agg(F.sum("__value").alias("__sum"))
     prior = lambda c: F.coalesce(F.sum(c).over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sums.select("__bucket", prior("__sum").alias("__before"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions.ranking import div
+
 SMALL_BLOCKS, DEPENDENCY_BLOCKS = 64, 256
 
 
@@ -19,7 +21,7 @@ def dependency_size(rows: int, workers: int) -> int:
 
 def block_of(id_: Column, size: int) -> Column:
     """0-based block of a 1-based id."""
-    return F.floor((id_ - 1) / size).cast("long")
+    return div((id_ - 1).cast("long"), size)
 
 
 def ranges(ids: DataFrame, size: int) -> DataFrame:
@@ -78,7 +80,7 @@ def block_order(matrix: DataFrame) -> DataFrame:
 def halved(matrix: DataFrame, column: str) -> DataFrame:
     """matrix with pairs of neighbouring blocks (column blk) or dependency blocks (dep) merged."""
     other = "dep" if column == "blk" else "blk"
-    return matrix.select(F.floor(F.col(column) / 2).cast("long").alias(column), other).distinct().select("blk", "dep")
+    return matrix.select(div(F.col(column), 2).alias(column), other).distinct().select("blk", "dep")
 
 
 def bit_algebra(matrix: DataFrame, a: int, b: int) -> DataFrame:

@@ -14,9 +14,15 @@ def unique_edges(tets: DataFrame) -> DataFrame:
     return tets.select(F.explode(F.array(*(ends(p, q) for p, q in TET_EDGES))).alias("e")).select("e.a", "e.b").distinct()
 
 
+def _sorted3(a: Column, b: Column, c: Column) -> Column:
+    """Array of three ids in rising order, inside generated code."""
+    low, high = F.least(a, b, c), F.greatest(a, b, c)
+    return F.array(low, a + b + c - low - high, high)
+
+
 def _tet_faces(tets: DataFrame, *more: str) -> DataFrame:
     nodes = F.col("nodes")
-    keys = F.array(*(F.array_sort(F.array(*(nodes[i] for i in face))) for face in TET.faces))
+    keys = F.array(*(_sorted3(*(nodes[i] for i in face)) for face in TET.faces))
     return tets.select(F.col("id").alias("tet_id"), *more, F.posexplode(keys).alias("face", "key"))
 
 
@@ -63,27 +69,20 @@ def global_ids(elements: DataFrame) -> DataFrame:
     return elements.join(F.broadcast(offsets), "kind").withColumn("gid", (F.col("before") + F.col("id")).cast("long")).drop("before")
 
 
-def _face_key(nodes: Column, face: tuple[int, ...]) -> Column:
-    """Sorted nodes of a triangle; of a quad its least node, the opposite one and 0."""
-    ids = [nodes[i] for i in face]
-    if len(face) == 3:
-        return F.array_sort(F.array(*ids))
-    least, key = F.least(*ids), None
-    for i in reversed(range(4)):
-        own = F.array(ids[i], ids[(i + 2) % 4], F.lit(0).cast("long"))
-        key = own if key is None else F.when(ids[i] == least, own).otherwise(key)
-    return key
-
-
 def volume_faces(elements: DataFrame) -> DataFrame:
-    """(gid, face, k0, k1, k2, fnodes) of elements (kind, id, nodes) of several volume kinds."""
-    numbered, out = global_ids(elements), None
-    for kind in VOLUMES:
-        nodes = F.col("nodes")
-        faces = F.array(*(F.struct(_face_key(nodes, f).alias("key"), F.array(*(nodes[i] for i in f)).alias("fnodes")) for f in KINDS[kind.name].faces))
-        part = numbered.where(F.col("kind") == kind.name).select("gid", F.posexplode(faces).alias("face", "f"))
-        out = part if out is None else out.unionByName(part)
-    return out.select("gid", "face", *(F.col("f.key")[i].alias(f"k{i}") for i in range(3)), "f.fnodes")
+    """(gid, face, k0, k1, k2, fnodes) of elements (kind, id, nodes) of several volume kinds.
+
+    Keys are the sorted nodes of a triangle; of a quad its least node, the opposite one and
+    0. The local face numbering is a table of nineteen rows, joined by kind.
+    """
+    numbering = [(k.name, j, list(face)) for k in VOLUMES for j, face in enumerate(KINDS[k.name].faces)]
+    local = elements.sparkSession.createDataFrame(numbering, "kind string, face int, at array<int>")
+    faces = global_ids(elements).join(F.broadcast(local), "kind").select("gid", "face", F.transform("at", lambda i: F.get("nodes", i)).alias("fnodes"))
+    a, b, c, d = (F.get("fnodes", F.lit(i)) for i in range(4))
+    low, quad = F.least(a, b, c, d), F.size("fnodes") == 4
+    high = F.greatest(a, b, c)
+    opposite = F.when(a == low, c).when(b == low, d).when(c == low, a).otherwise(b)
+    return faces.select("gid", "face", low.alias("k0"), F.when(quad, opposite).otherwise(a + b + c - low - high).alias("k1"), F.when(quad, F.lit(0).cast("long")).otherwise(high).alias("k2"), "fnodes")
 
 
 def mixed_neighbours(elements: DataFrame) -> DataFrame:
