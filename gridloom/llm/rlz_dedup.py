@@ -12,34 +12,34 @@ _SPAN = WINDOW * Words.width
 
 
 class Reference:
-    """A block of earlier documents' segments, indexed by every window of words."""
+    """A block of earlier documents' segments, indexed by every window of words at its first place."""
 
     def __init__(self):
-        self.places: dict[bytes, list[tuple[bytes, int]]] = {}
+        self.places: dict[bytes, tuple[bytes, int]] = {}
 
     def add(self, segment: bytes) -> None:
         for at in range(0, len(segment) - _SPAN + 1, Words.width):
-            self.places.setdefault(segment[at : at + _SPAN], []).append((segment, at))
+            self.places.setdefault(segment[at : at + _SPAN], (segment, at))
 
     def factor(self, segment: bytes, at: int) -> int:
-        """Bytes of the longest match from `at` that some place of the block has; 0 if shorter than a window."""
-        best = 0
-        for source, begin in self.places.get(segment[at : at + _SPAN], ()):
-            size, most = _SPAN, min(len(source) - begin, len(segment) - at)
-            while size < most and source[begin + size : begin + size + Words.width] == segment[at + size : at + size + Words.width]:
-                size += Words.width
-            best = max(best, size)
-            if best == len(segment) - at:
-                break
-        return best
+        """Bytes of the match from `at` with the first place of its window; 0 if the block has no such window."""
+        found = self.places.get(segment[at : at + _SPAN])
+        if found is None:
+            return 0
+        source, begin = found
+        size, most = _SPAN, min(len(source) - begin, len(segment) - at)
+        while size < most and source[begin + size : begin + size + Words.width] == segment[at + size : at + size + Words.width]:
+            size += Words.width
+        return size
 
 
 def parse(segment: bytes, reference: Reference) -> list[tuple[int, int]]:
     """(first word, words) of the factors long enough to be spans.
 
-    Greedy: the longest factor is taken where one of WINDOW words or more starts, else one
-    word is passed. After a factor the parse goes on WINDOW - 1 words before its end, as a
-    window across that boundary may stand elsewhere in the reference.
+    Greedy: a factor is taken as far as it goes where one of WINDOW words or more starts,
+    else one word is passed. After a factor the parse goes on WINDOW - 1 words before its
+    end, as a window across that boundary may stand elsewhere in the reference. So every
+    window is either inside a factor or looked up itself, and one place for each is enough.
     """
     out, at = [], 0
     while at + _SPAN <= len(segment):
