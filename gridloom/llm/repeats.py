@@ -24,6 +24,7 @@ WINDOW, GRAM = 50, 20
 FULL_KEY, SALT_DOCS = 1024, 64
 _SIZE_BITS = 31
 CHUNK_BYTES = 1 << 20
+PART_ROWS = 20_000
 ID_ROWS = 4_000_000
 #: (segments, their groups, their documents) to (segment, first token, tokens) of every part that an
 #: earlier document of the group has too, each at least WINDOW long.
@@ -164,13 +165,22 @@ SEGMENT = "h long, salt int, d long, rk long, start long, size long, seg binary"
 def _segments(joined: DataFrame, kind: type) -> DataFrame:
     """Segments of the shared keys; without bytes where the batch itself holds the segment in an earlier document."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        c = list(zip(*out)) or [()] * 7
+        return pa.record_batch([pa.array(np.array(c[0], np.uint64).view(np.int64)), *(pa.array(x, t) for x, t in zip(c[1:], kinds))], names=[f.split()[0] for f in SEGMENT.split(", ")])
+
+    def run(batch: pa.RecordBatch) -> pa.Table:
         ids, rks, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), raw_texts(batch.column(2))
-        shared, first, out = batch.column(3), {}, []
+        shared, first, out, done = batch.column(3), {}, [], []
         lists = shared.flatten()
         h_all, salts_all = lists.field(0).to_numpy().view(np.uint64), lists.field(1).to_numpy()
         ends = np.cumsum(shared.value_lengths().to_numpy())
         for i in np.argsort(ids, kind="stable"):
+            if len(out) >= PART_ROWS:
+                done.append(made(out))
+                out = []
             a, b = int(ends[i - 1]) if i else 0, int(ends[i])
             order = np.argsort(h_all[a:b])
             own, salts = h_all[a:b][order], salts_all[a:b][order]
@@ -183,16 +193,14 @@ def _segments(joined: DataFrame, kind: type) -> DataFrame:
                 # Under a full key each window goes alone, salted by what it holds.
                 for s, n in [(start + x, 1) for x in range(count)] if m else [(start, count)]:
                     seg, size = data[s * w : (s + n + WINDOW - 1) * w], n + WINDOW - 1
-                    if first.setdefault((key, seg), d) == d:
+                    if first.setdefault(xxhash.xxh3_128_digest(key.to_bytes(8) + seg), d) == d:
                         out.append((key, 1 + xxhash.xxh3_64_intdigest(seg) % m if m else 0, d, rk, s, size, seg))
                     elif out and out[-1][6] is None and out[-1][2:4] == (d, rk) and s <= out[-1][4] + out[-1][5]:
                         last = out[-1]  # goes on where the mark before it ends
                         out[-1] = (*last[:5], s + size - last[4], None)
                     else:
                         out.append((key, 0, d, rk, s, size, None))
-        c = list(zip(*out)) or [()] * 7
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        return pa.record_batch([pa.array(np.array(c[0], np.uint64).view(np.int64)), *(pa.array(x, t) for x, t in zip(c[1:], kinds[1:]))], names=[f.split()[0] for f in SEGMENT.split(", ")])
+        return pa.Table.from_batches([*done, made(out)])
 
     return by_batch(joined, run, SEGMENT)
 
