@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import stored
 from gridloom.llm.decontam import drop_contaminated
 from gridloom.llm.line_dedup import drop_frequent_lines
+from gridloom.llm.near_copies import drop_near_copies
 from gridloom.llm.queries import SP_MODEL
-from gridloom.llm.simhash import drop_near_copies
 from gridloom.llm.sp_tokens import encode_texts
 from gridloom.llm.toxicity import drop_toxic
 
@@ -26,7 +26,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each component of near copies."""
+    """One document, that of the smallest doc_id, of each component of near copies: five-word Jaccard 0.8 or more."""
     return drop_near_copies(docs)
 
 

@@ -134,9 +134,3 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return marked.join(named, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents that a smaller doc_id of their component stands for."""
-    spare = simhash_components(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__spare")).distinct()
-    return docs.join(spare, F.col(f"`{id_col}`") == F.col("__spare"), "left_anti")
