@@ -147,6 +147,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents that hold a benchmark item; columns as they were."""
-    spoilt = contaminated(docs, benchmark, error_rate, id_col, text_col).select(F.col("doc_id").alias("__spoilt")).distinct()
-    return docs.join(spoilt, F.col(f"`{id_col}`") == F.col("__spoilt"), "left_anti")
+    """docs without the rows whose text holds a benchmark item; columns as they were.
+
+    Each row is judged by its own text, whatever its doc_id: null and repeated ids too.
+    """
+    keyed = docs.withColumn("__text", F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+    spoilt = contaminated(keyed, benchmark, error_rate, "__text", text_col).select(F.col("doc_id").alias("__text")).distinct()
+    return keyed.join(spoilt, "__text", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -250,8 +250,19 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents that a smaller doc_id of their group of near copies stands for."""
+    """docs with exactly one row of each group of near copies; columns as they were.
+
+    Rows are judged one by one: the least doc_id stays, null after all others, and of several
+    texts under that doc_id the one of the least hash. Of rows repeated with doc_id and text
+    any one stays. A doc_id of two texts in different groups can keep both.
+    """
     groups = stored(near_copy_groups(docs, id_col, text_col), "near-copy-groups")
-    least = groups.groupBy("root").agg(F.min("id").alias("least"))
-    spare = groups.join(least, "root").where("id <> least").select(F.col("id").alias("__spare")).distinct()
-    return docs.join(spare, F.col(f"`{id_col}`") == F.col("__spare"), "left_anti")
+    rows = groups.groupBy("root", "id", *_TEXT_KEY).agg(F.count("*").alias("n"))
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", *_TEXT_KEY, "n")).alias("k"))
+    kept = stored(best.select(F.col("k.id").alias("__id"), F.col("k.t1").alias("__k1"), F.col("k.t2").alias("__k2"), F.col("k.n").alias("__n")), "kept-keys")
+    text, key = F.col(f"`{text_col}`"), ["__t1", "__t2"]
+    keyed = docs.withColumn("__t1", F.xxhash64(text)).withColumn("__t2", F.xxhash64(F.lit(1), text))
+    found = keyed.join(kept, (F.col("__t1") == F.col("__k1")) & (F.col("__t2") == F.col("__k2")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__id")))
+    if not kept.where("__n > 1").isEmpty():
+        found = found.dropDuplicates(key)
+    return found.drop("__id", "__k1", "__k2", "__n", *key)

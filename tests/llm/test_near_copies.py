@@ -60,3 +60,15 @@ def test_stage_keeps_one_of_each_group(spark):
     kept = {r.doc_id for r in corpus_pipeline.simhash(spark, docs, "").collect()}
     assert kept == {d for i, (d, _) in enumerate(rows) if want[i] == i} and 56 not in kept
     assert corpus_pipeline.simhash(spark, docs.limit(0), "").count() == 0
+
+
+def test_stages_decide_by_row(spark):
+    from gridloom.llm import decontam
+
+    a, b, c = ("alpha beta gamma delta epsilon", "one two three four five six", "red green blue black white grey")
+    rows = [(None, a), (3, a), (3, a), (5, a), (5, b), (None, c), (None, c), (7, None), (None, "")]
+    kept = near_copies.drop_near_copies(frame(spark, rows))
+    assert sorted(str((r.doc_id, r.text)) for r in kept.collect()) == sorted(str(r) for r in [(3, a), (5, b), (None, c), (7, None)])
+    items = spark.createDataFrame([(1, a)], "item_id long, text string")
+    clean = decontam.drop_contaminated(frame(spark, rows), items)
+    assert sorted(str((r.doc_id, r.text)) for r in clean.collect()) == sorted(str(r) for r in rows if r[1] != a) and clean.columns == kept.columns
