@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -92,6 +94,11 @@ def _merges(model: SpModel) -> list[tuple[str, str]]:
     return [(p[:cut], p[cut:]) for _, cut, p in sorted(found)]
 
 
+def decoder_of(prefixed: bool) -> decoders.Decoder:
+    """Marks become spaces and byte pieces bytes; `prefixed`: the mark put in front goes."""
+    return decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if prefixed else [])])
+
+
 def build_tokenizer(model: SpModel):
     """A tokenizers.Tokenizer that segments as the SentencePiece model does.
 
@@ -116,7 +123,7 @@ def build_tokenizer(model: SpModel):
         steps.append(normalizers.Prepend(MARK))
     steps.append(normalizers.Replace(" ", MARK))
     tokenizer.normalizer = normalizers.Sequence(steps)
-    tokenizer.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if model.dummy_prefix else [])])
+    tokenizer.decoder = decoder_of(model.dummy_prefix)
     return tokenizer
 
 
@@ -132,61 +139,104 @@ def read_model(spark: SparkSession, path: str) -> bytes:
     return data
 
 
+class Encoded(NamedTuple):
+    """A text's ids as int32 bytes, and the text that they decode to."""
+
+    ids: bytes
+    text: str
+
+    def __len__(self) -> int:
+        return len(self.ids) // 4
+
+    def tolist(self) -> list[int]:
+        return np.frombuffer(self.ids, np.int32).tolist()
+
+
 class BatchEncoder:
-    """Ids of many texts at once by the tokenizers library.
+    """Ids of many texts at once, and their decoding, by the tokenizers library.
 
     Where no piece reaches over the start of a run of space marks, a text's ids are those of
-    its words one after the other. So the distinct words of a batch that are not known yet
-    are encoded together, on the library's threads, and kept. Other models encode whole
-    texts. The words kept are bounded; past that they are forgotten and encoded anew.
+    its words one after the other, and so is what they decode to. So the distinct words of
+    a batch that are not known yet are encoded and decoded together, on the library's
+    threads; their ids are kept as bytes, and of what they decode to only what differs from
+    the word. Other models encode and decode whole texts. The words kept are bounded; past
+    that they are forgotten and encoded anew.
     """
 
     KEPT = 300_000
 
     def __init__(self, model: SpModel):
         self.tokenizer = build_tokenizer(model)
-        self.words = None
         self.prefixed = model.dummy_prefix
-        self.sounds = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else p.replace(MARK, " ").encode() for p, _, k in model.pieces]
+        self.words = None
         if model.words_split and model.kind == BPE:
-            line = "\n" if model.newline_alone and model.byte_fallback else ""
-            self.words = re.compile(f"{MARK}*[^{MARK}{line}]+|{MARK}+" + (f"|{line}" if line else ""))
+            self.line = "\n" if model.newline_alone and model.byte_fallback else ""
+            self.words = re.compile(f"{MARK}*[^{MARK}{self.line}]+|{MARK}+" + (f"|{self.line}" if self.line else ""))
             self.bare = build_tokenizer(model)
             self.bare.normalizer = normalizers.Sequence([])
             self.bare.pre_tokenizer = pre_tokenizers.Sequence([])
+            self.bare.decoder = decoder_of(False)
             self.plain = model.dummy_prefix and not model.charsmap and not model.squeeze
-            self.known: dict[str, list[int]] = {}
+            self.known: dict[str, bytes] = {"": b""}
+            self.odd: dict[str, str] = {}
             self.opens = np.array([p.startswith(MARK) for p, _, _ in model.pieces])
             self.marked = any(p == MARK for p, _, _ in model.pieces)
 
+    def _split(self, whole: str) -> list[str]:
+        """The words of a normalised text; empty strings among them stand for nothing."""
+        if MARK + MARK in whole:
+            return self.words.findall(whole)
+        apart = whole.replace(MARK, " " + MARK)
+        return (apart.replace("\n", " \n ") if self.line else apart).split(" ")
+
     def _normalised(self, text: str) -> str:
         if not text:
             return ""
         return MARK + text.replace(" ", MARK) if self.plain else self.tokenizer.normalizer.normalize_str(text)
 
     def _learn(self, words: list[str]) -> None:
-        """Encode words in lines of a few dozen; a token that opens with the mark starts the next word."""
-        lone = [w for w in words if self.marked and w[0] == MARK and w[1:2] not in ("", MARK)]
+        """Encode and decode words in lines of a few dozen.
+
+        A token that opens with the mark starts the next word, and a space what it decodes to.
+        """
+        lone = [w for w in words if self.marked and w[:1] == MARK and w[1:2] not in ("", MARK)]
         rest = list(set(words).difference(lone)) if len(lone) < len(words) else []
-        lines = ["".join(lone[i : i + 50]) for i in range(0, len(lone), 50)]
-        for i, line in enumerate(self.bare.encode_batch_fast(lines, add_special_tokens=False)):
-            ids, starts = line.ids, np.flatnonzero(self.opens[line.ids]).tolist()
-            self.known.update(zip(lone[50 * i : 50 * i + 50], (ids[a:b] for a, b in zip(starts, [*starts[1:], len(ids)]))))
-        self.known.update(zip(rest, (e.ids for e in self.bare.encode_batch_fast(rest, add_special_tokens=False))))
-
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids: marks become spaces, byte pieces bytes, and the mark put in front goes."""
-        text = b"".join(map(self.sounds.__getitem__, ids)).decode("utf-8", "replace")
+        parts = [lone[i : i + 50] for i in range(0, len(lone), 50)] + [[w] for w in rest]
+        lines = list(map("".join, parts))
+        found = [e.ids for e in self.bare.encode_batch_fast(lines, add_special_tokens=False)]
+        first = len(parts) - len(rest)
+        data = array("i", chain.from_iterable(found[:first])).tobytes()
+        starts = (4 * np.flatnonzero(self.opens[np.frombuffer(data, np.int32)])).tolist()
+        self.known.update(zip(lone, [data[a:b] for a, b in zip(starts, [*starts[1:], len(data)])]))
+        self.known.update(zip(rest, [array("i", ids).tobytes() for ids in found[first:]]))
+        for part, line, text in zip(parts, lines, self.bare.decode_batch(found, skip_special_tokens=False)):
+            if text != line.replace(MARK, " "):
+                self._note(part, text)
+
+    def _note(self, part: list[str], text: str) -> None:
+        """Keep what each word of a line decodes to that is not the word itself."""
+        heard = [text] if len(part) == 1 else [" " + t for t in text.split(" ")[1:]]
+        if len(heard) != len(part):
+            heard = self.bare.decode_batch([np.frombuffer(self.known[w], np.int32).tolist() for w in part], skip_special_tokens=False)
+        self.odd.update((w, t) for w, t in zip(part, heard) if t != w.replace(MARK, " "))
+
+    def _heard(self, whole: str, words: list[str]) -> str:
+        """What the words' ids decode to."""
+        text = whole.replace(MARK, " ") if not self.odd or self.odd.keys().isdisjoint(words) else "".join([self.odd.get(w, w.replace(MARK, " ")) for w in words])
         return text[1:] if self.prefixed and text[:1] == " " else text
 
-    def __call__(self, texts: list[str]) -> list[list[int]]:
+    def __call__(self, texts: list[str]) -> list[Encoded]:
         if self.words is None:
-            return [e.ids if t else [] for e, t in zip(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), texts)]
-        split = [self.words.findall(self._normalised(t)) for t in texts]
+            ids = [e.ids if t else [] for e, t in zip(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), texts)]
+            return [Encoded(array("i", i).tobytes(), t) for i, t in zip(ids, self.tokenizer.decode_batch(ids, skip_special_tokens=False))]
         if len(self.known) > self.KEPT:
-            self.known = {}
-        self._learn(list({w for words in split for w in words}.difference(self.known)))
-        return [list(chain.from_iterable(map(self.known.__getitem__, words))) for words in split]
+            self.known, self.odd = {"": b""}, {}
+        wholes = list(map(self._normalised, texts))
+        split = list(map(self._split, wholes))
+        if new := set().union(*split).difference(self.known):
+            self._learn(list(new))
+        known = self.known.__getitem__
+        return [Encoded(b"".join(map(known, words)), self._heard(whole, words)) for whole, words in zip(wholes, split)]
 
 
 _ready: dict[int, tuple] = {}
@@ -204,11 +254,12 @@ def encode_texts(docs: DataFrame, model: str, text_col: str = "text", threads: i
     """docs with four columns: token_ids array<int>, n_tokens long, parity and round_trip boolean.
 
     The model file is parsed and rebuilt for the tokenizers library, which encodes and
-    decodes each Arrow batch on `threads` threads. parity: SentencePiece itself gives the
-    same ids for this whole text (null unless verify). round_trip: decoding the ids gives
-    the text back; false where the model's normaliser changes it, as for texts that hold
-    the space mark itself. Null and empty texts have no tokens and round-trip to an empty
-    text. docs' columns of the names in `added` are replaced. An empty table gives no rows.
+    decodes on `threads` threads. parity: SentencePiece itself gives the same ids for this
+    whole text (null unless verify). round_trip: decoding the ids gives the text back; false
+    where the model's normaliser changes it, as for texts that hold the space mark itself.
+    Null and empty texts have no tokens and round-trip to an empty text. Equal texts of an
+    Arrow batch are encoded, checked and decoded once. docs' columns of the names in `added`
+    are replaced. An empty table gives no rows.
     """
     data = docs.sparkSession.sparkContext.broadcast(read_model(docs.sparkSession, model))  # at most MODEL_BYTES
     kept = [c for c in docs.columns if c not in added]
@@ -219,17 +270,17 @@ def encode_texts(docs: DataFrame, model: str, text_col: str = "text", threads: i
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         encode, pieces = _tools(data.value)
         texts = [t or "" for t in batch.column(at).to_pylist()]
-        ids: list[np.ndarray] = []
-        parity: list[bool | None] = []
-        whole: list[bool] = []
-        for part in _portions(texts):
+        found: dict[str, tuple[bytes, bool | None, bool]] = {}
+        for part in _portions(list(dict.fromkeys(texts))):
             own = encode(part)
-            parity += [a == b for a, b in zip(own, pieces.encode(part, num_threads=threads))] if verify else [None] * len(part)
-            whole += [a == b for a, b in zip(map(encode.decode, own), part)]
-            ids += [np.array(x, np.int32) for x in own]
-        ends = np.cumsum([0, *map(len, ids)], dtype=np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*ids, np.empty(0, np.int32)])))
-        return pa.record_batch([*batch.columns, lists, pa.array(np.diff(ends)), pa.array(parity, pa.bool_()), pa.array(whole, pa.bool_())], names=[f"c{i}" for i in range(len(kept) + 4)])
+            same = [array("i", theirs).tobytes() == e.ids for e, theirs in zip(own, pieces.encode(part, num_threads=threads))] if verify else [None] * len(part)
+            found.update((t, (e.ids, p, e.text == t)) for t, e, p in zip(part, own, same))
+        done = [found[t] for t in texts]
+        sizes = np.array([len(d[0]) // 4 for d in done], np.int64)
+        ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+        values = pa.array(np.frombuffer(b"".join([d[0] for d in done]), np.int32))
+        lists = pa.ListArray.from_arrays(pa.array(ends), values)
+        return pa.record_batch([*batch.columns, lists, pa.array(sizes), *(pa.array([d[i] for d in done], pa.bool_()) for i in (1, 2))], names=[f"c{i}" for i in range(len(kept) + 4)])
 
     out = ", ".join([*(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(rows.schema)), *(f"c{len(kept) + i} {kind}" for i, kind in enumerate(("array<int>", "long", "boolean", "boolean")))])
     return by_batch(rows, run, out).toDF(*kept, *added)

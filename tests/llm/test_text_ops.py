@@ -82,6 +82,22 @@ def test_tokens_are_those_of_sentencepiece(spark):
     assert sp_tokens.encode_texts(frame(spark, []), SP_MODEL).count() == 0
 
 
+def test_decoding_by_words_is_that_of_whole_texts():
+    """Word by word, by the library on whole lists of ids and by SentencePiece."""
+    with open(SP_MODEL, "rb") as f:
+        data = f.read()
+    own, sp = sp_tokens.BatchEncoder(sp_tokens.SpModel(data)), sentencepiece.SentencePieceProcessor(model_proto=data)
+    rng = random.Random(7)
+    parts = ["the", "Wort", " ", "  ", "\n", "▁", "ñ", "日本", "🙂", "\t", "x" * 40, "<0x41>", "</s>", "\x00", "é"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randint(0, 30))) for _ in range(400)] + [t or "" for t in TEXTS]
+    for t, e in zip(texts, own(texts)):
+        ids = e.tolist()
+        assert ids == sp.encode(t) and len(e) == len(ids)
+        assert e.text == own.tokenizer.decode(ids, skip_special_tokens=False) == sp.decode(ids)
+    own.odd = {"▁the": " THE"}  # what the library decodes a word to is what counts
+    assert own(["the cat"])[0].text == "THE cat"
+
+
 def _field(number, value):
     if isinstance(value, bytes):
         return bytes([number << 3 | 2]) + (bytes([len(value)]) if len(value) < 128 else bytes([len(value) & 127 | 128, len(value) >> 7])) + value
@@ -101,8 +117,8 @@ def test_unigram_models_agree_too():
     sp, own = sentencepiece.SentencePieceProcessor(model_proto=data), sp_tokens.BatchEncoder(sp_tokens.SpModel(data))
     rng = random.Random(1)
     texts = ["".join(rng.choice("abc  ") for _ in range(rng.randint(0, 20))) for _ in range(60)] + ["zé a"]
-    assert own(texts) == sp.encode(texts)
-    assert [own.decode(i) for i in own(texts)] == texts
+    assert [e.tolist() for e in own(texts)] == sp.encode(texts)
+    assert [e.text for e in own(texts)] == texts
     with pytest.raises(ValueError):
         sp_tokens.build_tokenizer(sp_tokens.SpModel(_model(4, pieces)))
 
