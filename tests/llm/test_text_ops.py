@@ -45,6 +45,114 @@ def test_odd_pages_do_not_crash(page):
     assert isinstance(html_extract.main_text(page), str)
 
 
+BODY = "<p>" + "A long sentence, with commas, and words. " * 4 + "</p>"
+
+
+def around(inner):
+    return f"<html><head><title>t</title><body><nav><a href=x>m</a></nav><article><h1>T</h1>{BODY}{inner}{BODY}</article><footer>f</footer></body></html>"
+
+
+@pytest.mark.parametrize("name", ["article-comments", "comment", "commentList", "sidebar-content", "main-menu", "ad-slot", "share-buttons", "cookie-notice", "newsletter-signup", "related-posts", "nav-links", "hidden"])
+def test_unwanted_parts_of_an_article_go(name):
+    for attribute in ("class", "id", 'data-x="y" class'):
+        assert "INNER" not in html_extract.main_text(around(f'<div {attribute}="x {name}"><p>INNER text of this part, long enough to count, and so on, and so on.</p></div>'))
+
+
+@pytest.mark.parametrize("name", ["share-price", "legal-news", "market-share", "has-sidebar", "article-header", "entry-content", "ad-hoc", "story"])
+def test_wanted_parts_of_an_article_stay(name):
+    assert "INNER" in html_extract.main_text(around(f'<div class="{name}"><p>INNER text of this part, long enough to count, and so on, and so on.</p></div>'))
+    assert "INNER" in html_extract.main_text(around(f'<div data-class="comments" data-id="nav" title="menu"><p>INNER {name}, and so on.</p></div>'))
+
+
+def test_parts_by_element_and_role():
+    for part in ("<article class=comment><p>INNER</p></article>", "<div role=navigation>INNER</div>", "<p hidden>INNER</p>", "<p style='display: none'>INNER", "<form><p>INNER</p></form>", "<div itemprop=comment>INNER</div>", "<button>INNER</button>"):
+        assert html_extract.main_text(around(part)) == html_extract.main_text(around(""))
+    assert "one two three" in html_extract.main_text(around("<p>one <svg><g>x</g></svg>two <b>three"))
+    assert html_extract.main_text("<form>" + BODY * 4 + "</form>").count("\n") == 3  # a frame around the page
+    links = "<div class=widget>" + "<a href=x>INNER link, more of it</a> " * 20 + "</div>"
+    assert "INNER" not in html_extract.main_text(around(links)) and "INNER" in html_extract.main_text(around(f"<div class=widget><p>INNER{BODY * 3}</p></div>"))
+
+
+def test_head_without_end_and_anchors():
+    assert html_extract.main_text(f"<html><head><title>t</title><p>Text, in full.{BODY}").startswith("Text, in full.")
+    assert "named" in html_extract.main_text(around("<a name=top><p>named anchor, no link, so it counts, and stays.</p>"))
+    assert html_extract.main_text("a &#" + "9" * 6000 + "; b") == "a \ufffd b"
+    assert html_extract.main_text(f"<main><h1>Head</h1><article>{BODY}</article></main>").startswith("Head\n")
+
+
+HARD = {"open tags": "<a " * 330_000, "deep": "<div>" * 100_000, "headings": "<h1>x" * 100_000, "buttons": "<p><button>" + "<h2>x" * 50_000, "quotes": '<a b="' * 150_000, "ends": "</x>" * 200_000, "lists": "<ul><li>" * 50_000, "signs": "<" * 300_000, "comments": "<!--" * 200_000, "spaces": "<a =" + " " * 300_000}
+
+
+@pytest.mark.parametrize("name", HARD)
+def test_hard_pages_take_linear_time(name):
+    import time
+
+    began = time.process_time()
+    html_extract.main_text(HARD[name])
+    assert time.process_time() - began < 4
+
+
+def plain_extract(tree):
+    """A second, recursive reading of the scoring: tree = (tag, text, share of link text, children)."""
+    nodes = []
+
+    def walk(node, up):
+        me = len(nodes)
+        nodes.append((node, up))
+        for child in node[3]:
+            walk(child, me)
+
+    walk(tree, None)
+
+    def total(i, what):
+        return what(nodes[i][0]) + sum(total(j, what) for j, (_, up) in enumerate(nodes) if up == i)
+
+    points = [0.0] * len(nodes)
+    for i, ((tag, text, linked, _), up) in enumerate(nodes):
+        if len(text) >= 25:
+            gain = (1 + text.count(",") + min(len(text) // 100, 3)) * (1 - (1 if linked else 0))
+            chain, at = [], up if tag == "p" else i
+            while at is not None and len(chain) < 5:
+                chain.append(at)
+                at = nodes[at][1]
+            for level, a in enumerate(chain):
+                points[a] += gain / [1, 2, 6, 9, 12][level]
+    size = [total(i, lambda n: len(n[1])) for i in range(len(nodes))]
+    link = [total(i, lambda n: len(n[1]) if n[2] else 0) for i in range(len(nodes))]
+    score = [points[i] * (1 - link[i] / size[i]) if size[i] else 0.0 for i in range(len(nodes))]
+    best = max(range(len(nodes)), key=lambda i: (score[i], -i))
+    roots = {best} | {i for i, (n, up) in enumerate(nodes) if score[best] > 0 and up == nodes[best][1] and (score[i] >= max(10.0, score[best] * 0.2) and n[0] == nodes[best][0][0] or n[0] == "p" and size[i] > 80 and link[i] * 4 < size[i])}
+    if score[best] <= 0:
+        roots = {0}
+    kept = []
+    for i, (node, _) in enumerate(nodes):
+        at = i
+        while at is not None and at not in roots:
+            at = nodes[at][1]
+        if at is not None and node[1]:
+            kept.append(node[1])
+    return "\n".join(kept)
+
+
+def test_scoring_is_the_plain_one():
+    rng = random.Random(11)
+
+    def grown(depth):
+        kind = rng.choice(["div", "section", "p"]) if depth else "div"
+        if kind == "p" or depth > 4:
+            n = rng.randint(1, 40)
+            return ("p", " ".join(rng.choice(["word", "word,", "longer"]) for _ in range(n)), rng.random() < 0.25, [])
+        return (kind, "", False, [grown(depth + 1) for _ in range(rng.randint(1, 4))])
+
+    def written(node):
+        tag, text, linked, children = node
+        return f"<{tag}>{'<a href=x>' * linked}{text}{'</a>' * linked}{''.join(map(written, children))}</{tag}>"
+
+    for _ in range(300):
+        tree = ("#page", "", False, [grown(0)])
+        assert html_extract.main_text(written(tree[3][0])) == plain_extract(tree)
+
+
 def test_plain_text_and_empty_text():
     assert html_extract.main_text("just words &amp; more") == "just words & more"
     assert html_extract.main_text("<nav>only a menu</nav>") == ""
