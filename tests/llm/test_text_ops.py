@@ -288,59 +288,107 @@ def test_contamination_is_the_brute_force(spark):
 # Toxicity
 
 
-def events(text):
-    f = toxicity.features(text, toxicity.lexicon())
-    return dict(zip(toxicity.EVENTS, [round(float(np.expm1(x))) for x in f]))
+def adds(text):
+    """What the grammar adds over all clauses, insults by number of words."""
+    words = {w: (symbol, 1.0) for w, (symbol, _) in toxicity.lexicon().items()}
+    return np.sum(toxicity.Matcher(words).clauses(text) or [[0.0] * 6], axis=0)
 
 
 def test_grammar_tells_clauses_apart():
-    assert events("You are an idiot.")[toxicity.DIRECTED] == 1
-    assert events("What an idiot.")[toxicity.INSULT] == 1
-    assert events("She is not stupid.")[toxicity.DENIED] == 1
-    assert events("He said you are an idiot.")[toxicity.QUOTED] == 1
-    assert events("I will kill you.")[toxicity.MENACE] == 1
-    assert events("I will not kill you.")[toxicity.MENACE] == 0
-    assert sum(events("A kind word.").values()) == 0
-    assert events("He said so. You are an idiot.")[toxicity.DIRECTED] == 1
+    told = lambda text, what: adds(text)[what]
+    assert told("You are an idiot.", toxicity.DIRECTED) == told("Idiot, that is what you are.", toxicity.DIRECTED) == told("You’re an idiot.", toxicity.DIRECTED) == 1
+    assert told("What an idiot.", toxicity.INSULTED) == 1 and told("What an idiot.", toxicity.DIRECTED) == 0
+    assert told("She is not stupid.", toxicity.DENIED) == told("She isn't stupid.", toxicity.DENIED) == 1 and told("She isn't stupid.", toxicity.INSULTED) == 0
+    assert told("He said you are an idiot.", toxicity.QUOTED) == 1 and told("He said you are an idiot.", toxicity.DIRECTED) == 0
+    for menace in ("I will kill you.", "I'll kill you", "I’ll hang them all", "Ich werde dich schlagen, ich werde töten dich"):
+        assert told(menace, toxicity.MENACED) == 1
+    for harmless in ("I will not kill you.", "We will hang the pictures.", "I will kill the background process.", "You hang around", "He said he will kill you"):
+        assert told(harmless, toxicity.MENACED) == 0
+    assert not adds("A kind word.").any() and not adds("I am ill, you know").any()
+    assert told("He said so. You are an idiot.", toxicity.DIRECTED) == 1
+
+
+def plain_adds(symbols, weights):
+    """Brute force: each symbol looks back and ahead over the whole clause."""
+    n, total = len(symbols), [0.0] * 6
+    before = lambda s, i, reach: s in symbols[max(0, i - reach) : i]
+    for i in range(n):
+        if symbols[i] == "i":
+            kind = toxicity.DENIED if before("n", i, 3) else toxicity.QUOTED if before("r", i, 8) else toxicity.INSULTED
+            total[kind] += weights[i]
+    kept = ["-" if s in "it" and (before("n", i, 3) or before("r", i, 8)) else s for i, s in enumerate(symbols)]
+    waiting, near = -1, -1  # the last insult not directed yet, the last target
+    for i, s in enumerate(kept):
+        if s == toxicity.TARGET:
+            total[toxicity.DIRECTED] += 0 <= waiting and i - waiting <= 5
+            near, waiting = i, -1
+        elif s == toxicity.INSULT:
+            if near >= 0 and i - near <= 4:
+                total[toxicity.DIRECTED] += 1
+                waiting = -1
+            else:
+                waiting = i
+    for i, s in enumerate(kept):
+        total[toxicity.THREATENED] += s == toxicity.THREAT
+        if s == toxicity.TARGET:
+            last = max((j for j in range(max(0, i - 3), i) if kept[j] == toxicity.THREAT and toxicity.INTENT in kept[max(0, j - 3) : j]), default=-1)
+            total[toxicity.MENACED] += last >= 0 and toxicity.TARGET not in kept[last + 1 : i]
+    return total
+
+
+def test_composed_grammar_is_the_brute_force():
+    rng = random.Random(5)
+    symbols = "".join((toxicity.INSULT, toxicity.THREAT, toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT, toxicity.INTENT)) + toxicity.OTHER * 4
+    grammar = toxicity.Composed(toxicity.GRAMMAR)
+    for _ in range(3000):
+        line = [rng.choice(symbols) for _ in range(rng.randint(1, 24))]
+        weights = [rng.choice([0.5, 1.0, 3.0]) for _ in line]
+        assert list(grammar(line, weights)) == pytest.approx(plain_adds(line, weights)), line
 
 
-def test_composed_table_is_the_chain():
-    rng = random.Random(5)
-    symbols = toxicity.INSULT + toxicity.THREAT + toxicity.TARGET + toxicity.NEGATION + toxicity.REPORT + toxicity.INTENT + toxicity.OTHER
-    steps = [(toxicity.NEGATION, {"i": "N", "t": "k"}, 3), (toxicity.REPORT, {"i": "Q", "t": "k"}, 8), (toxicity.TARGET, {"i": "D"}, 4), (toxicity.INTENT, {"t": "K"}, 3)]
-    for _ in range(200):
-        line = [rng.choice(symbols) for _ in range(20)]
-        want = line
-        for opener, change, reach in steps:
-            want = [change.get(c, c) if any(x == opener for x in want[max(0, i - reach) : i]) else c for i, c in enumerate(want)]
-        state, got = 0, []
-        for c in line:
-            state, out = toxicity.TABLE[state][c]
-            got.append(out)
-        assert got == want
+def test_scores_rest_on_the_grammar():
+    same = toxicity.Transducer(0, lambda state, symbol: (0, symbol, (toxicity.INSULTED,) if symbol == toxicity.INSULT else ()))
+    texts = ["You are an idiot.", "She is not an idiot.", "He said she is an idiot.", "What an idiot.", "I will kill you."]
+    with_grammar, words_alone = ([toxicity.joined(toxicity.Matcher(toxicity.lexicon(), m).clauses(t), toxicity.PRIOR) for t in texts] for m in (toxicity.GRAMMAR, same))
+    assert with_grammar[0] > with_grammar[3] > 2 * max(with_grammar[1:3]) and with_grammar[4] > 0.5
+    assert len(set(words_alone[:4])) == 1 and words_alone[4] < 0.1
+
+
+def test_arc_weights_are_learned():
+    rng = random.Random(9)
+    clause = lambda *at: tuple(3.0 if i < 1 and i in at else float(i in at) for i in range(6))
+    texts = [([clause(0, 3)], 1) for _ in range(60)] + [([clause(0)], int(rng.random() < 0.1)) for _ in range(200)] + [([], 0)] * 50
+    w = toxicity.fitted(texts)
+    assert w[1 + toxicity.DIRECTED] > toxicity.PRIOR[1 + toxicity.DIRECTED] + 0.5
+    assert toxicity.joined([clause(0, 3)], w) > 0.7 and toxicity.joined([clause(0)], w) < 0.3
+    assert (toxicity.fitted([]) == toxicity.PRIOR).all() and toxicity.joined([], w) == toxicity.GROUND
 
 
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity.toxicity_scores(docs, labels)
-    rows = got.join(docs.select("doc_id", "lang"), "doc_id").join(labels, "doc_id").where("held_out and lang = 'en'").collect()
-    hit = sum(r.predicted and r.toxic for r in rows)
-    assert hit / sum(r.toxic for r in rows) > 0.85 and hit / sum(r.predicted for r in rows) > 0.95
+    rows = got.join(docs.select("doc_id", "lang"), "doc_id").join(labels, "doc_id").where("held_out").collect()
+    for lang, least in (("en", 0.85), ("de", 0.85), ("fr", 0.85), ("es", 0.5)):  # 22 toxic documents teach Spanish
+        own = [r for r in rows if r.lang == lang]
+        hit = sum(r.predicted and r.toxic for r in own)
+        assert hit / sum(r.toxic for r in own) > least and sum(r.predicted and not r.toxic for r in own) <= 0.05 * len(own), lang
     for r in got.limit(50).collect():
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1
 
 
 def test_scores_of_odd_tables(spark):
-    docs = frame(spark, [None, "", "you idiot, you moron, you loser, you scum.", "You idiot"], [1, None, 3, 3])
+    docs = frame(spark, [None, "", "you idiot, you moron, you loser, you scum.", "You idiot", "idiot " * 30_000], [1, None, 3, 3, 4])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     rows = toxicity.toxicity_scores(docs, none).collect()
-    assert len(rows) == 4 and not [r for r in rows if r.doc_id is None][0].held_out
-    assert [r.predicted for r in rows if r.doc_id == 3] == [1, 1]
+    assert len(rows) == 5 and not [r for r in rows if r.doc_id is None][0].held_out
+    assert [r.predicted for r in rows if r.doc_id in (3, 4)] == [1, 1, 1] and [r.predicted for r in rows if r.doc_id in (1, None)] == [0, 0]
     assert toxicity.toxicity_scores(frame(spark, []), none).count() == 0
     labels = spark.createDataFrame([(3, None, None), (3, 1, 1), (1, 0, 0), (None, 1, 1), (1, 0, 5)], "doc_id long, quality int, toxic int")
-    assert toxicity.toxicity_scores(docs, labels).count() == 4
-    clash = docs.withColumnRenamed("lang", "score").withColumnRenamed("source", "toxic")
+    assert toxicity.toxicity_scores(docs, labels).count() == 5
+    clash = docs.withColumnRenamed("lang", "score").withColumnRenamed("source", "_score")
     assert toxicity.drop_toxic(clash, labels).columns == clash.columns
+    kept = toxicity.drop_toxic(clash, labels).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, ""), (1, "")] and {r.score for r in kept} == {"en"}
 
 
 # Pipeline
