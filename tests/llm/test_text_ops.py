@@ -265,7 +265,8 @@ def test_contamination_is_the_brute_force(spark):
             at = rng.randrange(len(body))
             body[at : at + rng.randint(0, 1)] = rng.choice("xyz ")
         docs.append(text(50) + "".join(body).upper() + text(30))
-    docs += [None, "", items[0][1].replace(" ", "  \n"), "Straße " + items[1][1]]
+    items += [(60, "xyzzy"), (61, "Ñandú ñ")]
+    docs += [None, "", items[0][1].replace(" ", "  \n"), "Straße " + items[1][1], "ñ ñandú xyzzy", "plugh " * 40_000 + items[2][1] + "é " * 300, "öö ñandú  Ñ"]
     found = decontam.contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), 0.05)
     got = {(r.doc_id, r.item_id): r.distance for r in found.collect()}
     want = {}
@@ -276,10 +277,14 @@ def test_contamination_is_the_brute_force(spark):
                 if best <= int(len(p) * 0.05) and t:
                     want[d, i] = best
     assert got == want and len(want) > 12
-    blocks = decontam.contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), 0.05, item_bytes=200)
-    assert {(r.doc_id, r.item_id): r.distance for r in blocks.collect()} == want
-    kept = decontam.drop_contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
-    assert {r.doc_id for r in kept.collect()} == set(range(len(docs))) - {d for d, _ in want} and kept.columns == frame(spark, []).columns
+    for size in (decontam.ITEM_BYTES, 200):  # both ways
+        named = spark.createDataFrame([(f"item {i}", x) for i, x in items] + [("again", items[0][1])], "item_id string, text string")
+        again = decontam.contaminated(frame(spark, docs + docs[:40], [*range(len(docs)), *[None] * 40]), named, 0.05, item_bytes=size).collect()
+        assert {(r.doc_id, r.item_id): r.distance for r in again if r.doc_id is not None and r.item_id != "again"} == {(d, f"item {i}"): n for (d, i), n in want.items()}
+        assert sum(r.doc_id is None for r in again) == sum(1 + (i == 0) for d, i in want if d < 40) and {r.doc_id for r in again if r.item_id == "again"} >= {d for d, i in want if i == 0}
+        clash = frame(spark, docs).withColumnRenamed("lang", "key").withColumnRenamed("source", "item_id")
+        kept = decontam.drop_contaminated(clash, spark.createDataFrame(items, "item_id long, text string"), item_bytes=size)
+        assert sorted(r.doc_id for r in kept.collect()) == sorted(set(range(len(docs))) - {d for d, _ in want}) and kept.columns == clash.columns
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontam.contaminated(frame(spark, docs), empty).count() == 0
     assert decontam.contaminated(frame(spark, []), empty).count() == 0
