@@ -42,9 +42,9 @@ from docs left join sums using (r) left join kept using (r)"""
 
 NEAREST = """with v as (select vec_id, embedding::double[] as e from embeddings
   where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
-n as (select vec_id, e, len(e) as d, sqrt(list_inner_product(e, e)) as norm from v),
-s as (select distinct q.vec_id as query_id, c.vec_id, list_inner_product(c.e, q.e) / (q.norm * c.norm) as score from n q join n c on q.d = c.d and q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
-r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+n as (select row_number() over () as rid, vec_id, e, len(e) as d, sqrt(list_inner_product(e, e)) as norm from v),
+s as (select q.rid, q.vec_id as query_id, c.vec_id, list_inner_product(c.e, q.e) / (q.norm * c.norm) as score from n q join n c on q.d = c.d and q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
+r as (select *, row_number() over (partition by rid order by score desc, vec_id) as rank from s)
 select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5"""
 
 

@@ -164,11 +164,12 @@ def test_perfect_hash_is_minimal():
 
 def plain_nearest(rows, k, step):
     good = [(i, np.array(v, float)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
-    out = set()
+    good = [(i, v / np.abs(v).max()) for i, v in good]
+    out = Counter()
     for q, a in good:
         if q % step == 0:
-            found = {(-float(a @ b / np.sqrt(a @ a) / np.sqrt(b @ b)).__round__(12), i) for i, b in good if i != q and len(a) == len(b)}
-            out |= {(q, r + 1, i) for r, (s, i) in enumerate(sorted(found)[:k])}
+            found = sorted((-float(a @ b / np.sqrt(a @ a) / np.sqrt(b @ b)).__round__(12), i) for i, b in good if i != q and len(a) == len(b))
+            out.update((q, r + 1, i) for r, (s, i) in enumerate(found[:k]))
     return out
 
 
@@ -176,8 +177,25 @@ def test_nearest_is_the_brute_force(spark):
     rng = np.random.default_rng(4)
     rows = [(i, rng.normal(size=8).astype("f4").tolist()) for i in range(300)]
     rows += [(300 + i, rows[3][1]) for i in range(30)] + [(400, None), (401, []), (402, [0.0] * 8), (403, [None] * 8), (404, [float("nan")] * 8), (450, [1.0, 2.0]), (451, [1.0, 3.0]), (500, [float("inf")] + [1.0] * 7), (None, rows[1][1]), (10, rows[10][1])]
+    rows += [(7, rows[7][1])] * 3 + [(20, rows[21][1])]  # rows that repeat an id
     df = spark.createDataFrame([(i, v, 0, "q") for i, v in rows], "vec_id long, embedding array<float>, label int, score string")
-    for tile in (4096, 16):
-        got = ann.nearest(df, k=5, query_step=10, tile_rows=tile).collect()
-        assert {(r.query_id, r["rank"], r.vec_id) for r in got} == plain_nearest(rows, 5, 10)
+    for tile, group in ((4096, 1 << 20), (16, 1 << 20), (16, 200)):
+        got = ann.nearest(df, k=5, query_step=10, tile_rows=tile, group_bytes=group).collect()
+        assert Counter((r.query_id, r["rank"], r.vec_id) for r in got) == plain_nearest(rows, 5, 10)
     assert ann.nearest(df.limit(0)).count() == 0
+
+
+def test_nearest_of_very_large_and_small_numbers(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.normal(size=5) * 10.0 ** rng.choice([-300, -5, 0, 200, 300])).tolist()) for i in range(60)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3, query_step=20).collect()
+    assert Counter((r.query_id, r["rank"], r.vec_id) for r in got) == plain_nearest(rows, 3, 20) and all(-1.001 < r.score < 1.001 for r in got)
+
+
+def test_int8_bounds_hold():
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(size=(40, 33)), rng.normal(size=(40, 33))
+    x, y = (ann.Codes(np.arange(40), np.arange(40), *ann.quantised(v)) for v in (a, b))
+    low, high = ann.bounds(x, y, slice(0, 40))
+    true = np.array([ann.exact_cosine(q, b) for q in a])
+    assert (low <= true).all() and (true <= high).all() and (high - low).max() < 0.1
