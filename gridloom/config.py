@@ -6,7 +6,10 @@ import os
 import time
 from dataclasses import dataclass, replace
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.operators import blocks
 
 
 @dataclass(frozen=True)
@@ -27,6 +30,32 @@ class EngineConfig:
         """One attribute changed; unknown names raise."""
         return replace(self, **{name: value})
 
+    def threads(self) -> int:
+        return self.workers or cores()
+
+    def small_size(self, rows: int) -> int:
+        return blocks.small_size(rows, self.threads(), self.small_block or blocks.SMALL_BLOCKS)
+
+    def dependency_size(self, rows: int, previous: int = 0) -> int:
+        return blocks.dependency_size(rows, self.threads(), previous, self.dependency_block or blocks.DEPENDENCY_BLOCKS)
+
+    def interleaved(self, ids: DataFrame, rows: int) -> DataFrame:
+        """Slices and owners of ids under the interleaving attributes; without any, one slice a worker."""
+        return blocks.interleaved(ids, rows, self.threads(), self.interleaving_factor, self.interleaving_size)
+
+    def scheduled(self, matrix: DataFrame) -> DataFrame:
+        """Blocks (blk, grp, worker, pos) in the order of their launch.
+
+        Static: conflict-free groups. Dynamic: one group, workers as Spark has them (null),
+        blocks of many dependencies first if block_sorting says so.
+        """
+        spark = matrix.sparkSession
+        if self.static_scheduling:
+            plan = blocks.static_schedule([(r["blk"], r["dep"]) for r in matrix.collect()], self.threads())  # block counts bound it
+            return spark.createDataFrame([(b, g, w, i + 1) for i, (b, g, w) in enumerate(plan)], "blk long, grp long, worker long, pos long")
+        order = blocks.block_order(matrix) if self.block_sorting else blocks.block_order(matrix.select("blk", F.lit(0).alias("dep")).distinct())
+        return order.select("blk", F.lit(0).cast("long").alias("grp"), F.lit(None).cast("long").alias("worker"), "pos")
+
     def spark_settings(self) -> dict[str, str]:
         adaptive = str(self.adaptive_sizing).lower()
         out = {"spark.sql.adaptive.enabled": adaptive, "spark.sql.adaptive.coalescePartitions.enabled": adaptive, "spark.sql.adaptive.skewJoin.enabled": adaptive}

@@ -63,3 +63,26 @@ def mixed_elements(spark: SparkSession, n: int) -> DataFrame:
     apex = m**3 + n * n * (n // 3) + 1 + (F.col("j") * (n // 3) + div(F.col("i"), 3)) * 2 + F.col("h")
     tops = prisms.where(F.col("k") == n - 1).select(F.lit("tet").alias("kind"), ((F.col("j") * (n // 3) + div(F.col("i"), 3)) * 2 + F.col("h") + 1).cast("long").alias("id"), F.concat(F.slice("nodes", 4, 3), F.array(apex.cast("long"))).alias("nodes"))
     return hexes.union(pyramids).union(prisms.select(F.lit("prism").alias("kind"), (F.col("r") * 2 + F.col("h") + 1).cast("long").alias("id"), "nodes")).union(tops)
+
+
+#: (kind, hub, elements beyond n, nodes) of the fan mesh: degrees on both sides of every limit.
+FANS = (("tet", 1, 130, 4), ("triangle", 2, 33, 3), ("quad", 3, 5, 4), ("hex", 4, 9, 8), ("pyramid", 1, 20, 5), ("prism", 2, 10, 6), ("edge", 1, 5, 2), ("hex", 5, -12, 8))
+FAN_HUBS = 6
+
+
+def fan_nodes(n: int) -> int:
+    """Vertices of the fan mesh; the last hub is isolated."""
+    return FAN_HUBS + sum(max(0, more + n) * (width - 1) for _, _, more, width in FANS)
+
+
+def fan_elements(spark: SparkSession, n: int) -> DataFrame:
+    """(kind, id, nodes) of all linear kinds: each element is a hub and nodes of its own."""
+    found, first, used = None, FAN_HUBS, {}
+    for kind, hub, more, width in FANS:
+        count, start = max(0, more + n), used.get(kind, 0)
+        e = F.col("id")
+        own = [e * (width - 1) + j + first for j in range(1, width)]
+        part = spark.range(count).select(F.lit(kind).alias("kind"), (e + 1 + start).alias("id"), F.array(F.lit(hub).cast("long"), *own).alias("nodes"))
+        found = part if found is None else found.union(part)
+        first, used[kind] = first + count * (width - 1), start + count
+    return found

@@ -5,34 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.session import stored
+
 
 def div(a: Column, b: Column | int) -> Column:
     """Integer quotient of non-negative longs, without a detour over doubles."""
     return F.call_function("div", a, F.lit(b) if isinstance(b, int) else b)
 
 
-def ranked(df: DataFrame, bucket: Column, order: list[Column], name: str = "new_id") -> DataFrame:
+def ranked(df: DataFrame, order: list[Column], name: str = "new_id") -> DataFrame:
     """df with its 1-based rank by `order`.
 
-    `bucket` must rise with the order (a prefix of the leading key). Rows are ranked
-    inside their bucket and the counts of smaller buckets are added; only the bucket counts
-    pass through one task.
+    Rows go to ranges of the whole order, whose ends Spark samples, so clustered or skewed
+    keys spread as evenly as others; a row's place in its sorted range, plus the sizes of
+    the ranges before, is its rank. The sorted ranges are stored once: a lost task cannot
+    cut them anew. Only the ranges' sizes pass through one task.
     """
-    rows = df.withColumn("__bucket", bucket)
-    counts = rows.groupBy("__bucket").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("__bucket", before.alias("__before"))
-    inner = F.row_number().over(Window.partitionBy("__bucket").orderBy(*order))
-    return rows.withColumn("__inner", inner).join(offsets, "__bucket").withColumn(name, (F.col("__before") + F.col("__inner")).cast("long")).drop("__bucket", "__before", "__inner")
-
-
-def spread(df: DataFrame, key: str, parts: int = 4096) -> Column:
-    """A bucket expression for ranked: `parts` equal ranges of an integer key, whose ends one job reads."""
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    if low is None:
-        return F.lit(0).cast("long")
-    width = -(-(high - low + 1) // parts)
-    return div(F.col(key) - low, width)
+    rows = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("__at", 33)
+    counts = rows.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("__part", before.alias("__before"))  # one row a range
+    inner = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.withColumn("__part", part).join(F.broadcast(offsets), "__part").withColumn(name, (F.col("__before") + inner + 1).cast("long")).drop("__at", "__part", "__before")
+
+
+def unsigned(key: Column) -> Column:
+    """A sort key that orders longs as unsigned numbers."""
+    return key.bitwiseXOR(F.lit(-(1 << 63)))
 
 
 def running_before(df: DataFrame, key: str, value: Column, name: str, width: int = 1 << 16) -> DataFrame:

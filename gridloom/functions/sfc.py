@@ -39,31 +39,48 @@ def quantised(value: Column, low: Column, high: Column, bits: int, top: int | No
     return F.when(high > low, F.least(scaled, F.lit(top if top is not None else (1 << bits) - 1))).otherwise(F.lit(0)).cast("long")
 
 
-def _ints(values: list[int]) -> Column:
-    return F.array(*map(F.lit, values))
-
-
-def _folded(axes: list[Column], levels: int, digits: list[int], following: list[int] | None) -> Column:
-    dims = len(axes)
+def chunk_table(digits: list[int], following: list[int], dims: int, levels: int) -> tuple[list[int], list[int]]:
+    """The automaton over `levels` levels at once: (digits, next states) by state and the octants one after the other."""
     arity = 1 << dims
+    codes, states = [], []
+    for first in range(len(digits) // arity):
+        for path in range(arity**levels):
+            code, state = 0, first
+            for level in reversed(range(levels)):
+                at = state * arity + (path >> dims * level & arity - 1)
+                code, state = code << dims | digits[at], following[at]
+            codes.append(code)
+            states.append(state)
+    return codes, states
 
-    def octant(level: Column) -> Column:
-        bits = [F.shiftleft(F.call_function("shiftright", axis, level).bitwiseAND(F.lit(1)).cast("int"), j) for j, axis in enumerate(axes)]
-        total = bits[0]
-        for b in bits[1:]:
-            total = total + b
-        return total
 
-    down = F.sequence(F.lit(levels - 1), F.lit(0), F.lit(-1))
-    if following is None:
-        return F.aggregate(down, F.lit(0).cast("long"), lambda code, level: code * arity + F.element_at(_ints(digits), octant(level) + 1))
-    zero = F.struct(F.lit(0).cast("long").alias("code"), F.lit(0).alias("state"))
+def _table(values: list[int]) -> Column:
+    """An array literal; one string crosses to the JVM, where the optimiser folds it."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
 
-    def step(acc: Column, level: Column) -> Column:
-        at = acc["state"] * arity + octant(level) + 1
-        return F.struct((acc["code"] * arity + F.element_at(_ints(digits), at)).alias("code"), F.element_at(_ints(following), at).alias("state"))
 
-    return F.aggregate(down, zero, step)["code"]
+def _folded(axes: list[Column], levels: int, digits: list[int], following: list[int]) -> Column:
+    """The code of integer coordinates: a few levels a step, each step two lookups, without a loop at run time.
+
+    A state is read by the next step's lookups alone, so the expression grows with the
+    square of the steps, of which there are eight at most.
+    """
+    dims = len(axes)
+    width = 3 if dims == 3 else 4
+    spread = [sum((v >> i & 1) << dims * i for i in range(width)) for v in range(1 << width)]
+    at = lambda values, index: F.element_at(_table(values), index.cast("int") + 1)
+    code, state, left = F.lit(0).cast("long"), F.lit(0), levels
+    while left:
+        step = left % width or width
+        left -= step
+        codes, states = chunk_table(digits, following, dims, step)
+        path = F.lit(0)
+        for j, axis in enumerate(axes):
+            path = path + F.shiftleft(at(spread, F.shiftright(axis, left).bitwiseAND(F.lit((1 << step) - 1))), j)
+        index = state * (1 << dims * step) + path
+        code = code + F.shiftleft(at(codes, index).cast("long"), dims * left)
+        state = at(states, index)
+    return code
 
 
 def hilbert_3d(x: Column, y: Column, z: Column, box: list[Column]) -> Column:
@@ -79,14 +96,20 @@ def hilbert_2d(x: Column, y: Column, box: list[Column]) -> Column:
 
 
 def hilbert_pair(a: Column, b: Column) -> Column:
-    """2-D Hilbert code of two non-negative integers under 2**30: the topological code of an element's least and largest node."""
-    return _folded([a.cast("long"), b.cast("long")], LEVELS_2D, *machine(START_2D, TURN_2D))
+    """2-D Hilbert code of two integers from 0 to 2**31 - 1: the topological code of an element's least and largest node.
+
+    Others have no code of 62 bits; they raise an error when a row with one is read.
+    """
+    least, largest = F.least(a, b), F.greatest(a, b)
+    fits = (least >= 0) & (largest < 1 << LEVELS_2D)
+    code = _folded([a.cast("long"), b.cast("long")], LEVELS_2D, *machine(START_2D, TURN_2D))
+    return F.when(fits, code).otherwise(F.raise_error(F.lit("a node id does not fit the topological code")).cast("long"))
 
 
 def z_curve(x: Column, y: Column, z: Column, box: list[Column]) -> Column:
     """63-bit octree code of a point in the box."""
     axes = [quantised(c, box[j], box[j + 3], LEVELS_3D) for j, c in enumerate((x, y, z))]
-    return _folded(axes, LEVELS_3D, list(OCTREE), None)
+    return _folded(axes, LEVELS_3D, list(OCTREE), [0] * 8)
 
 
 def ref_hash(ref: Column) -> Column:

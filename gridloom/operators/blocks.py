@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.ranking import div
+from gridloom.session import stored
 
 SMALL_BLOCKS, DEPENDENCY_BLOCKS = 64, 256
 
 
-def small_size(rows: int, workers: int) -> int:
+def small_size(rows: int, workers: int, per_worker: int = SMALL_BLOCKS) -> int:
     """Rows of a small block: about 64 blocks a worker, one block alone if there are fewer rows."""
-    return rows // (SMALL_BLOCKS * workers) if rows >= SMALL_BLOCKS * workers else rows
+    return rows // (per_worker * workers) if rows >= per_worker * workers else rows
 
 
-def dependency_size(rows: int, workers: int) -> int:
-    return rows // (DEPENDENCY_BLOCKS * workers) if rows >= DEPENDENCY_BLOCKS * workers else rows
+def dependency_size(rows: int, workers: int, previous: int = 0, per_worker: int = DEPENDENCY_BLOCKS) -> int:
+    """Rows of a dependency block: about 256 blocks a worker; one block alone if there are fewer rows, or fewer than 32 times the size in use before."""
+    return rows // (per_worker * workers) if rows >= per_worker * workers and rows >= 32 * previous else rows
 
 
 def block_of(id_: Column, size: int) -> Column:
@@ -36,11 +41,24 @@ def big_ranges(ids: DataFrame, rows: int, workers: int) -> DataFrame:
     return ids.groupBy(blk.alias("blk")).agg(F.min("id").alias("beg"), F.max("id").alias("end_"))
 
 
-def interleaved(ids: DataFrame, rows: int, workers: int, factor: int) -> DataFrame:
-    """(id, slice, owner): round-robin slices of rows / (factor * workers) ids."""
-    size = max(1, rows // (factor * workers))
-    piece = block_of(F.col("id"), size)
-    return ids.select("id", piece.alias("slice"), (piece % workers).alias("owner"))
+def interleaved(ids: DataFrame, rows: int, workers: int, factor: int = 0, size: int = 0) -> DataFrame:
+    """(id, slice, owner): slices of ids dealt to the workers in turn, the last one up to the end.
+
+    Either `factor` slices a worker, of rows / (factor * workers) ids each, a size that need
+    not be whole; or slices of `size` ids. Where that leaves a worker without a slice, each
+    gets one. Empty slices are not dealt.
+    """
+    if not factor and size:
+        factor, length = rows // (size * workers), Fraction(size)
+    else:
+        length = Fraction(rows, max(1, factor * workers))
+    if not factor:
+        factor, length = 1, Fraction(rows, workers)
+    # Slice k ends at floor((k + 1) * length), so an id is in the slice before the least k that reaches it.
+    top, bottom = length.numerator, length.denominator
+    piece = F.least(div(F.col("id") * bottom + (top - 1), top) - 1, F.lit(factor * workers - 1).cast("long"))
+    turn = piece if length >= 1 else F.col("id") - 1
+    return ids.select("id", piece.alias("slice"), (turn % workers).alias("owner"))
 
 
 def dependency_matrix(links: DataFrame, size: int, dep_size: int) -> DataFrame:
@@ -59,6 +77,14 @@ def added_fast(matrix: DataFrame, groups: DataFrame, size: int, dep_size: int) -
     return added(matrix, pairs, size, dep_size)
 
 
+def counted(matrix: DataFrame, pairs: DataFrame, rows: int, nodes: int, size: int, dep_size: int) -> DataFrame:
+    """(elem, node, n): for each pair the dependencies of its block once all pairs are added, 0 if an id is out of range."""
+    inside = F.col("elem").between(1, rows) & F.col("node").between(1, nodes)
+    held = added(matrix, pairs.where(inside), size, dep_size).groupBy("blk").agg(F.count("*").alias("n"))
+    marked = pairs.withColumn("blk", F.when(inside, block_of(F.col("elem"), size)))
+    return marked.join(held, "blk", "left").select("elem", "node", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
 def dependency_stats(matrix: DataFrame, blocks: int, deps: int) -> DataFrame:
     """(avg_pct, max_pct) of the dependency blocks that a block touches."""
     counts = matrix.groupBy("blk").agg(F.count("*").alias("n"))
@@ -83,6 +109,18 @@ def halved(matrix: DataFrame, column: str) -> DataFrame:
     return matrix.select(div(F.col(column), 2).alias(column), other).distinct().select("blk", "dep")
 
 
+def halved_while(matrix: DataFrame, column: str, measure: Callable[[DataFrame], float]) -> tuple[DataFrame, int]:
+    """(matrix, halvings): blocks are halved as long as the measure, a time for instance, falls and two are left."""
+    least, times = measure(matrix), 0
+    while matrix.select(column).distinct().count() > 1:
+        coarser = stored(halved(matrix, column), "halved")
+        found = measure(coarser)
+        if found >= least:
+            break
+        matrix, least, times = coarser, found, times + 1
+    return matrix, times
+
+
 def bit_algebra(matrix: DataFrame, a: int, b: int) -> DataFrame:
     """(op, dep): dependency sets of blocks a and b: their intersection, union and difference."""
     one, two = matrix.where(F.col("blk") == a).select("dep"), matrix.where(F.col("blk") == b).select("dep")

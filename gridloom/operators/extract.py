@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.incidence import degrees
 from gridloom.topology import KINDS, TET, TET_EDGES, VOLUMES
 
 
@@ -14,6 +15,11 @@ def unique_edges(tets: DataFrame) -> DataFrame:
     return tets.select(F.explode(F.array(*(ends(p, q) for p, q in TET_EDGES))).alias("e")).select("e.a", "e.b").distinct()
 
 
+def edge_degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, deg): how many distinct edges (a, b) end at each node, 0 for isolated ones."""
+    return degrees(edges.select(F.explode(F.array("a", "b")).alias("node")), nodes)
+
+
 def _sorted3(a: Column, b: Column, c: Column) -> Column:
     """Array of three ids in rising order, inside generated code."""
     low, high = F.least(a, b, c), F.greatest(a, b, c)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.ranking import running_before
+from gridloom.session import stored
 
 SMALL_ROWS = 1_000_000
 
@@ -33,16 +34,20 @@ def scatter(links: DataFrame, values: DataFrame, nodes: DataFrame, how: str = "s
     The exchange by node gives each node to one task, so no two tasks ever write the same
     node; partial sums are made before it.
     """
-    joined = links.join(values.select(F.col("id").alias("elem"), "value"), "elem")
-    found = joined.groupBy(F.col("node").alias("id")).agg((F.sum if how == "sum" else F.avg)("value").alias("value"))
+    return scattered(links.join(values.select(F.col("id").alias("elem"), "value"), "elem"), nodes, how)
+
+
+def scattered(links: DataFrame, nodes: DataFrame, how: str = "sum") -> DataFrame:
+    """scatter for links that carry their element's value."""
+    found = links.groupBy(F.col("node").alias("id")).agg((F.sum if how == "sum" else F.avg)("value").alias("value"))
     return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("value", F.lit(0)).alias("value"))
 
 
 def smooth(links: DataFrame, values: DataFrame, steps: int) -> DataFrame:
     """`steps` rounds of v <- v + sum over incident elements of (sum of its nodes' v) / degree.
 
-    Each round reads its values twice, so all but the last end in a reliable checkpoint:
-    without it the work would double from round to round.
+    Each round reads its values twice, so all but the last end in a stored table: without
+    it the work would double from round to round.
     """
     degree = links.groupBy(F.col("node").alias("id")).agg(F.count("*").alias("deg"))
     current = values.select("id", F.col("value").cast("double").alias("value"))
@@ -50,7 +55,7 @@ def smooth(links: DataFrame, values: DataFrame, steps: int) -> DataFrame:
         added = scatter(links, gather(links, current), current).withColumnRenamed("value", "add")
         current = current.join(added, "id").join(degree, "id", "left").select("id", (F.col("value") + F.coalesce(F.col("add") / F.col("deg"), F.lit(0.0))).alias("value"))
         if step < steps - 1:
-            current = current.checkpoint()
+            current = stored(current, "smoothed")
     return current
 
 
@@ -66,10 +71,18 @@ def csr_offsets(degree: DataFrame) -> DataFrame:
     return running_before(degree.select("id", "deg"), "id", F.col("deg"), "offset")
 
 
-def padded_sum(links: DataFrame, values: DataFrame, width: int) -> DataFrame:
-    """(id, value): sum over the first `width` incident elements, by element and slot."""
-    lists = links.join(values.select(F.col("id").alias("elem"), "value"), "elem").groupBy(F.col("node").alias("id")).agg(F.sort_array(F.collect_list(F.struct("elem", "slot", "value"))).alias("ball"))
-    return lists.select("id", F.aggregate(F.slice("ball", 1, width), F.lit(0).cast("long"), lambda s, x: s + x["value"].cast("long")).alias("value"))
+def ragged_sum(links: DataFrame, values: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, value): for each node the sum over its whole ball of elements, however large, 0 for isolated nodes."""
+    return scatter(links, values, nodes)
+
+
+def padded_sum(links: DataFrame, values: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(id, value): the sum over the first `width` incident elements, by element and slot; what a longer ball has more is left out.
+
+    Rows are cut by rank before they are summed, so no ball is ever gathered.
+    """
+    place = F.row_number().over(Window.partitionBy("node").orderBy("elem", "slot"))
+    return scatter(links.withColumn("place", place).where(F.col("place") <= width).drop("place"), values, nodes)
 
 
 def remapped(elements: DataFrame, numbering: DataFrame) -> DataFrame:

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import sfc
 from gridloom.functions.ranking import ranked, running_before
-from gridloom.operators.incidence import incidence, remapped
-from gridloom.topology import TET_EDGES
-
-#: Leading bits of a code that make its bucket in global ranks.
-BUCKET_SHIFT_3D, BUCKET_SHIFT_2D = 51, 48
+from gridloom.operators.incidence import degrees, incidence
+from gridloom.session import stored
+from gridloom.topology import FACE_KINDS, KINDS, SLICES, TET_EDGES, VOLUMES
 
 
 def bounding_box(points: DataFrame, *axes: str) -> DataFrame:
@@ -36,9 +38,9 @@ def codes_2d(points: DataFrame) -> DataFrame:
     return rows.select("id", sfc.hilbert_2d(F.col("x"), F.col("y"), box).alias("code"))
 
 
-def numbering(codes: DataFrame, shift: int) -> DataFrame:
+def numbering(codes: DataFrame) -> DataFrame:
     """(old_id, new_id): ranks by code, ties by old id."""
-    return ranked(codes, F.shiftright("code", shift), [F.col("code"), F.col("id")]).select(F.col("id").alias("old_id"), "new_id")
+    return ranked(codes, [F.col("code"), F.col("id")]).select(F.col("id").alias("old_id"), "new_id")
 
 
 def barycentres(elements: DataFrame, points: DataFrame) -> DataFrame:
@@ -68,20 +70,133 @@ def anchors(tets: DataFrame, points: DataFrame) -> DataFrame:
     return lengths.select("id", *(F.when(long, middle[a]).otherwise(mean[a]).alias(a) for a in "xyz"))
 
 
-def renumbered_mesh(points: DataFrame, elements: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(old_id, new_id) of the vertices, and elements (new_id, nodes) in the order of their barycentres' codes."""
-    vertices = numbering(codes_3d(points), BUCKET_SHIFT_3D)
-    order = numbering(codes_3d(barycentres(elements, points)), BUCKET_SHIFT_3D)
-    moved = remapped(elements, vertices).join(order, F.col("id") == order["old_id"]).select("new_id", "nodes")
-    return vertices, moved
+@dataclass(frozen=True)
+class Renumbering:
+    """What decides the order, from rank 4 down to 1: colour, grain, degree or face reference, scheme.
+
+    scheme: 0 Hilbert, 1 octree, 2 random, 3 as numbered, 4 Hilbert for vertices and
+    topological for elements. colors: rank by the vertices' columns color and grain; an
+    element has those of its first node. gmlib: "generic" ranks vertices by high degree and
+    faces by the hash of their reference, "matrix" vertices by their slice of unique edges.
+    """
+
+    scheme: int = 0
+    colors: bool = False
+    gmlib: str = ""
+
+    def __post_init__(self):
+        if self.scheme not in range(5) or self.gmlib not in ("", "generic", "matrix"):
+            raise ValueError("scheme is 0 to 4, gmlib empty, generic or matrix")
+
+
+def scheme_code(scheme: int, points: DataFrame, box: list[Column]) -> Column:
+    """Rank 1 of points (id, x, y, z)."""
+    x, y, z = F.col("x"), F.col("y"), F.col("z")
+    if scheme in (0, 4):
+        return sfc.hilbert_3d(x, y, z, box)
+    if scheme == 1:
+        return sfc.z_curve(x, y, z, box)
+    return F.shiftrightunsigned(F.xxhash64("id"), 1) if scheme == 2 else F.col("id").cast("long")
+
+
+def _vertex_rank2(points: DataFrame, elements: DataFrame, gmlib: str) -> DataFrame:
+    """points with rank2: 1 for high degree (generic), or the number of the vertex's matrix slice."""
+    if gmlib == "generic":
+        high = degree_classes(degrees_by_kind(elements, points.select("id"))).select("id", F.col("high").cast("int").alias("rank2"))
+        return points.join(high, "id")
+    if gmlib == "matrix":
+        edges = elements.where("kind = 'tet'")
+        ends = F.explode(F.array(*(F.struct(F.least(F.col("nodes")[p], F.col("nodes")[q]).alias("a"), F.greatest(F.col("nodes")[p], F.col("nodes")[q]).alias("b")) for p, q in TET_EDGES)))
+        links = edges.select(ends.alias("e")).select("e.a", "e.b").distinct().select(F.explode(F.array("a", "b")).alias("node"))
+        return points.join(degrees(links, points.select("id")).select("id", slice_of(F.col("deg")).alias("rank2")), "id")
+    return points.withColumn("rank2", F.lit(0))
+
+
+def renumbered_mesh(points: DataFrame, elements: DataFrame, how: Renumbering = Renumbering()) -> tuple[DataFrame, DataFrame]:
+    """Vertices (old_id, new_id, color, grain) and elements (kind, old_id, new_id, nodes, ref, color, grain) in their new order.
+
+    points: id, x, y, z and, if colours count, color and grain. elements: kind, id, nodes
+    and, for references, ref. Every kind is numbered from 1. Codes of points and of
+    barycentres are taken in the box of the points. One exchange by element replaces nodes
+    and makes barycentres at once; edges and quadratic kinds are ordered by their old ids.
+    """
+    box = bounding_box(points, "x", "y", "z")
+    at = [F.col(f"{c}_{n}") for n in ("lo", "hi") for c in "xyz"]
+    colors = [F.col(c).cast("long").alias(c) if how.colors else F.lit(0).cast("long").alias(c) for c in ("color", "grain")]
+    coded = _vertex_rank2(points.select("id", "x", "y", "z", *colors), elements, how.gmlib).crossJoin(F.broadcast(box))  # the box is one row
+    coded = coded.withColumn("code", scheme_code(how.scheme, points, at)).drop(*(f"{c}_{n}" for n in ("lo", "hi") for c in "xyz"))
+    vertices = stored(ranked(coded, [F.col(c) for c in ("color", "grain", "rank2", "code", "id")]).select(F.col("id").alias("old_id"), "new_id", "x", "y", "z", "color", "grain"), "vertices")
+    ref = F.col("ref").cast("int") if "ref" in elements.columns else F.lit(0)
+    links = elements.select("kind", F.col("id").alias("elem"), ref.alias("ref"), F.posexplode("nodes").alias("slot", "node")).join(vertices.withColumnRenamed("old_id", "node"), "node")
+    first = F.col("slot") == 0
+    moved = links.groupBy("kind", "elem", "ref").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("slot", "new_id"))), lambda s: s["new_id"]).alias("nodes"),  # a kind's nodes, 27 at most
+        *(F.avg(c).alias(c) for c in "xyz"),
+        *(F.max(F.when(first, F.col(c))).alias(c) for c in ("color", "grain")),
+    )
+    moved = moved.withColumnRenamed("elem", "id").crossJoin(F.broadcast(box))
+    volumes, faces = ([k.name for k in kinds] for kinds in (VOLUMES, FACE_KINDS))
+    own = sfc.hilbert_pair(F.array_min("nodes"), F.array_max("nodes")) if how.scheme == 4 else scheme_code(how.scheme, moved, at)
+    code = F.when(F.col("kind").isin(*volumes, *faces), own).otherwise(F.lit(0).cast("long"))
+    rank2 = F.when(F.col("kind").isin(*faces), sfc.ref_hash(F.col("ref"))).otherwise(F.lit(0).cast("long")) if how.gmlib == "generic" else F.lit(0).cast("long")
+    keyed = moved.select("kind", "id", "nodes", "ref", "color", "grain", rank2.alias("rank2"), code.alias("code"))
+    order = ranked(keyed, [F.col(c) for c in ("kind", "color", "grain", "rank2", "code", "id")], "place")
+    before = order.groupBy("kind").agg((F.min("place") - 1).alias("before"))  # one row a kind
+    numbered = order.join(F.broadcast(before), "kind").select("kind", F.col("id").alias("old_id"), (F.col("place") - F.col("before")).alias("new_id"), "nodes", "ref", "color", "grain")
+    return vertices.select("old_id", "new_id", "color", "grain"), numbered
+
+
+def degrees_by_kind(elements: DataFrame, points: DataFrame) -> DataFrame:
+    """(id, one column a kind): incidences of each point by elements (kind, id, nodes) of each kind, 0 for none."""
+    found = elements.select("kind", F.explode("nodes").alias("id")).groupBy("id").pivot("kind", list(KINDS)).count()
+    return points.select("id").join(found, "id", "left").na.fill(0)
+
+
+def degree_classes(by_kind: DataFrame) -> DataFrame:
+    """by_kind with high and over: a triangle, quad, tet or hex degree above the kind's low and high limit."""
+    beyond = lambda limit: reduce(or_, (F.col(k.name) > getattr(k, limit) for k in KINDS.values() if k.name in ("triangle", "quad", "tet", "hex")))
+    return by_kind.withColumns({"high": beyond("low_degree"), "over": beyond("high_degree")})
+
+
+def degree_summary(classes: DataFrame) -> DataFrame:
+    """(kind, max_deg, vec_size, high, over, high_pct, over_pct): of each kind the largest degree among high vertices and the power of two that holds it.
+
+    The last four are of all vertices and the same in every row.
+    """
+    most = [F.coalesce(F.max(F.when(F.col("high"), F.col(k))), F.lit(0)).cast("long").alias(k) for k in KINDS]
+    total = classes.agg(F.count("*").alias("n"), *(F.sum(F.col(c).cast("long")).alias(c) for c in ("high", "over")), *most)
+    rows = total.select("n", "high", "over", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("max_deg")) for k in KINDS))).alias("k"))
+    size = F.when(F.col("k.max_deg") > 0, F.pow(F.lit(2.0), F.ceil(F.log2(F.col("k.max_deg").cast("double")))).cast("long")).otherwise(F.lit(0).cast("long"))
+    return rows.select("k.kind", "k.max_deg", size.alias("vec_size"), "high", "over", *((100.0 * F.col(c) / F.col("n")).alias(f"{c}_pct") for c in ("high", "over")))
+
+
+def slice_of(degree: Column) -> Column:
+    """1 to 5: the matrix slice of 16, 32, 64, 128 or 256 entries that a degree needs, the last one open."""
+    number = F.lit(len(SLICES) + 1)
+    for i, limit in reversed(list(enumerate(SLICES, 1))):
+        number = F.when(degree <= limit, i).otherwise(number)
+    return number
+
+
+def slice_histogram(degree: DataFrame, out: bool = False) -> DataFrame:
+    """(slice, n, pct, fill_pct) of vertices (id, deg); fill_pct, the same in every row, is the share of the slices' entries in use.
+
+    out: degrees above 256 make a slice of their own, named 0, that has no entries;
+    otherwise they join the last.
+    """
+    width = F.element_at(F.array(*map(F.lit, (*SLICES, 256))), slice_of(F.col("deg")))
+    width = (F.when(F.col("deg") > 256, 0).otherwise(width) if out else width).cast("long")
+    rows = degree.groupBy(width.alias("slice")).agg(F.count("*").alias("n"), F.sum("deg").alias("total"))
+    whole = rows.agg(F.sum("n").alias("all"), F.sum("total").alias("used"), F.sum(F.col("n") * F.col("slice")).alias("room"))
+    return rows.crossJoin(F.broadcast(whole)).select("slice", "n", (100.0 * F.col("n") / F.col("all")).alias("pct"), (100.0 * F.col("used") / F.col("room")).alias("fill_pct"))  # one row
 
 
 def fixed_boundary(points: DataFrame, boundary: DataFrame) -> DataFrame:
     """(old_id, new_id): boundary vertices (id) keep their places; inner ones fill the others in the order of their codes."""
     marked = codes_3d(points).join(boundary.withColumn("fixed", F.lit(True)), "id", "left")
     inner = marked.where("fixed is null")
-    order = ranked(inner, F.shiftright("code", BUCKET_SHIFT_3D), [F.col("code"), F.col("id")], "k").select(F.col("id").alias("old_id"), "k")
-    slots = ranked(inner, F.floor(F.col("id") / (1 << 16)), [F.col("id")], "k").select(F.col("id").alias("new_id"), "k")
+    order = ranked(inner, [F.col("code"), F.col("id")], "k").select(F.col("id").alias("old_id"), "k")
+    slots = ranked(inner.select("id"), [F.col("id")], "k").select(F.col("id").alias("new_id"), "k")
     return order.join(slots, "k").select("old_id", "new_id").union(marked.where("fixed").select(F.col("id"), F.col("id")))
 
 
@@ -107,6 +222,13 @@ def permuted(payload: DataFrame, order: DataFrame) -> DataFrame:
     return payload.join(order.withColumnRenamed("old_id", "id"), "id").select(F.col("new_id").alias("id"), *rest)
 
 
+def looked_up(ids: DataFrame, order: DataFrame) -> DataFrame:
+    """(id, new_id, old_id): the place that each id goes to, and the id that comes to its place."""
+    to = order.select(F.col("old_id").alias("id"), "new_id")
+    of = order.select(F.col("new_id").alias("id"), "old_id")
+    return ids.select("id").join(to, "id", "left").join(of, "id", "left")
+
+
 def restored(payload: DataFrame, order: DataFrame) -> DataFrame:
     """payload (id, ...) under its old ids: the inverse of permuted."""
     return permuted(payload, order.select(F.col("new_id").alias("old_id"), F.col("old_id").alias("new_id")))

@@ -11,18 +11,40 @@ from pyspark.sql import functions as F
 GROWTH = 2
 
 
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir, deleted when the application ends.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which the driver and all executors see.
 
-    Sessions that name no such folder (single machines) get one of their own.
+    A local session without one gets a folder of its own; on a cluster that is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='gridloom-')}"
-    path = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}.meshb"
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        if not _own:
+            _own.append(f"file://{tempfile.mkdtemp(prefix='gridloom-')}")
+        path = _own[0]
+    return path.rstrip("/")
+
+
+_own: list[str] = []
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder, deleted when the application ends."""
+    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return path
 
 
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """df written as Parquet in the shared folder and read back: lineage ends there and survives lost executors."""
+    spark = df.sparkSession
+    path = scratch(spark, what)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def id_report(df: DataFrame) -> DataFrame:
     """(n, lo, hi, distinct_ids, dense) of column id."""
     stats = df.agg(F.count("id").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.count_distinct("id").alias("distinct_ids"))

@@ -25,6 +25,7 @@ QUADRATIC = {"edge2": 3, "triangle2": 6, "quad2": 9, "tet2": 10, "pyramid2": 14,
 KINDS = {k.name: k for k in (EDGE, TRIANGLE, QUAD, TET, PYRAMID, PRISM, HEX)}
 #: Volume kinds in the order of their global ids.
 VOLUMES = (TET, PYRAMID, PRISM, HEX)
+FACE_KINDS = (TRIANGLE, QUAD)
 TET_EDGES = ((0, 1), (1, 2), (2, 0), (3, 0), (3, 1), (3, 2))
 #: Upper bounds of the degree buckets of matrix slices, the last one open.
 SLICES = (16, 32, 64, 128)

@@ -7,10 +7,11 @@ import random
 import duckdb
 import pytest
 
-from gridloom import config, fixtures, oracles, queries, session
+from gridloom import cli, config, fixtures, oracles, queries, session
 from gridloom.functions import ranking, sfc
-from gridloom.operators import blocks, extract, grains, incidence, renumber
+from gridloom.operators import blocks, extract, grains, incidence, loops, renumber
 from gridloom.plans.tasks import TaskGraph
+from gridloom.sources import mesh_io
 from gridloom.sources.mesh_io import mesh_path
 from pyspark.sql import functions as F
 
@@ -73,7 +74,7 @@ def test_machines_have_few_states():
 
 def test_degenerate_points(spark):
     flat = spark.createDataFrame([(1, 0.0, 0.0, 5.0), (2, 1.0, 1.0, 5.0), (3, 1.0, 1.0, 5.0)], "id long, x double, y double, z double")
-    order = dict(renumber.numbering(renumber.codes_3d(flat), renumber.BUCKET_SHIFT_3D).collect())
+    order = dict(renumber.numbering(renumber.codes_3d(flat)).collect())
     assert sorted(order.values()) == [1, 2, 3] and order[2] < order[3]
     one = flat.limit(1)
     assert renumber.codes_3d(one).first()["code"] is not None
@@ -81,14 +82,14 @@ def test_degenerate_points(spark):
 
 def test_ranked_equals_a_global_window(spark):
     df = spark.range(500).select("id", (F.col("id") * 37 % 50).alias("key"))
-    got = {r["id"]: r["new_id"] for r in ranking.ranked(df, F.floor(F.col("key") / 7), [F.col("key"), F.col("id")]).collect()}
+    got = {r["id"]: r["new_id"] for r in ranking.ranked(df, [F.col("key"), F.col("id")]).collect()}
     assert got == {r: i + 1 for i, r in enumerate(sorted(range(500), key=lambda i: (i * 37 % 50, i)))}
 
 
 def test_permutation_and_restore(spark):
     n = 3
     ver = fixtures.vertices(spark, n)
-    order = renumber.numbering(renumber.codes_3d(ver), renumber.BUCKET_SHIFT_3D)
+    order = renumber.numbering(renumber.codes_3d(ver))
     got = order.collect()
     assert sorted(r[1] for r in got) == sorted(r[0] for r in got) == list(range(1, (n + 1) ** 3 + 1))
 
@@ -159,6 +160,7 @@ def test_settings_and_paths():
     assert config.cores() >= 1 and config.wall_clock() <= config.wall_clock()
     assert (mesh_path("a"), mesh_path("a.mesh"), mesh_path("a.meshb")) == ("a.meshb", "a.mesh", "a.meshb")
     assert blocks.small_size(10, 4) == 10 and blocks.small_size(1000, 4) == 3
+    assert blocks.dependency_size(5000, 4) == 4 and blocks.dependency_size(5000, 4, previous=200) == 5000
 
 
 def test_smoothing_with_checkpoints(spark):
@@ -168,3 +170,141 @@ def test_smoothing_with_checkpoints(spark):
     one = incidence.smooth(links, incidence.smooth(links, ver, 2), 3)
     got, want = ({r["id"]: r["value"] for r in df.collect()} for df in (incidence.smooth(links, ver, 5), one))
     assert all(abs(got[i] - want[i]) < 1e-6 * abs(want[i]) for i in want)
+
+
+def plain_code(point, levels, start, turn, dims):
+    """The curve level by level, with the rotation itself as state."""
+    rotation, code = list(start), 0
+    for level in reversed(range(levels)):
+        octant = sum((point[j] >> level & 1) << j for j in range(dims))
+        digit = rotation[octant]
+        code = code << dims | digit
+        if turn:
+            rotation = [turn[digit][r] for r in rotation]
+    return code
+
+
+def test_codes_are_those_of_the_plain_loop(spark):
+    rng = random.Random(4)
+    points = [(i, *(rng.randrange(1 << 21) for _ in range(3))) for i in range(300)] + [(900, 0, 0, 0), (901, (1 << 21) - 1, 0, (1 << 21) - 1)]
+    df = spark.createDataFrame(points, "id long, x long, y long, z long")
+    axes, pair = [F.col(c) for c in "xyz"], [F.col("x") * 1024 + F.col("y") % 1024, F.col("z") * 1000]
+    got = df.select("id", sfc._folded(axes, 21, *sfc.machine(sfc.START_3D, sfc.TURN_3D)).alias("h"), sfc._folded(axes, 21, list(sfc.OCTREE), [0] * 8).alias("o"), sfc.hilbert_pair(*pair).alias("t"))
+    found = {r.id: (r.h, r.o, r.t) for r in got.collect()}
+    for i, x, y, z in points:
+        flat = (x * 1024 + y % 1024, z * 1000)
+        assert found[i] == (plain_code((x, y, z), 21, sfc.START_3D, sfc.TURN_3D, 3), plain_code((x, y, z), 21, sfc.OCTREE, None, 3), plain_code(flat, 31, sfc.START_2D, sfc.TURN_2D, 2))
+
+
+def test_ids_beyond_the_topological_code_raise(spark):
+    df = spark.createDataFrame([(5, 1 << 31)], "a long, b long")
+    with pytest.raises(Exception, match="does not fit"):
+        df.select(sfc.hilbert_pair(F.col("a"), F.col("b")).alias("c")).collect()
+    assert df.limit(0).select(sfc.hilbert_pair(F.col("a"), F.col("b")).alias("c")).count() == 0
+
+
+def test_ranks_of_one_key_and_of_no_rows(spark):
+    same = spark.range(1000).select("id", F.lit(7).alias("key"))
+    got = ranking.ranked(same, [F.col("key"), F.desc("id")], "pos").collect()
+    assert {(r.id, r.pos) for r in got} == {(i, 1000 - i) for i in range(1000)}
+    assert ranking.ranked(same.limit(0), [F.col("key")], "pos").count() == 0
+
+
+@pytest.mark.parametrize("rows,workers,factor,size", [(100, 4, 7, 0), (101, 3, 2, 0), (9, 4, 5, 0), (100, 4, 0, 6), (100, 4, 0, 25), (100, 4, 0, 26), (7, 4, 0, 0), (3, 4, 0, 0), (1000, 7, 0, 13)])
+def test_interleaving_is_the_plain_deal(spark, rows, workers, factor, size):
+    from fractions import Fraction
+
+    count = factor or (rows // (size * workers) if size else 0)
+    length = Fraction(rows, factor * workers) if factor else Fraction(size) if count else Fraction(rows, workers)
+    count = count or 1
+    want, at, turn = {}, Fraction(0), 0
+    for k in range(count * workers):
+        begin, end = int(at) + 1, int(at + length)
+        at += length
+        if k == count * workers - 1:
+            end = rows
+        if begin <= end:
+            want.update((i, (k, turn)) for i in range(begin, end + 1))
+            turn = (turn + 1) % workers
+    got = {r.id: (r.slice, r.owner) for r in blocks.interleaved(spark.range(1, rows + 1), rows, workers, factor, size).collect()}
+    assert got == want
+
+
+def test_a_wrong_colouring_and_schedule_are_counted(spark):
+    pairs = spark.createDataFrame([(0, 1), (1, 2), (0, 2)], "g1 long, g2 long")
+    colors = spark.createDataFrame([(0, 0), (1, 1), (2, 0)], "grain long, color long")
+    assert [tuple(r) for r in grains.clashes(pairs, colors).collect()] == [(0, 2)]
+    touched = spark.createDataFrame([(0, 5, 1, 1, 0), (0, 5, 2, 2, 0), (1, 5, 3, 3, 0), (0, 6, 2, 2, 1)], "color long, node long, grain long, elem long, slot int")
+    assert renumber.first_touch(touched).first()[0] == 1
+
+
+def test_colours_are_balanced():
+    pairs = [(0, i) for i in range(1, 9)]
+    found = grains.coloring(pairs, 12, workers=3)
+    assert all(found[a] != found[b] for a, b in pairs)
+    used = sorted(list(found.values()).count(c) for c in set(found.values()))
+    assert used[0] >= 3 and sum(used) == 12
+
+
+def test_opaque_loops(spark):
+    import pyarrow as pa
+
+    df = loops.launch(spark.range(1, 101), lambda b, k: pa.record_batch([b.column(0), pa.array([k] * b.num_rows)], names=["id", "k"]), "id long, k long", 7, slices=4)
+    assert {(r.id, r.k) for r in df.collect()} == {(i, 7) for i in range(1, 101)}
+    assert 1 <= loops.concurrency(spark.range(1, 101).repartitionByRange(4, "id")) <= 4
+
+
+def test_settings_act(spark):
+    matrix = spark.createDataFrame([(0, 0), (1, 0), (1, 1), (2, 5)], "blk long, dep long")
+    order = lambda c: [r.blk for r in c.scheduled(matrix).orderBy("pos").collect()]
+    base = config.EngineConfig(workers=2)
+    assert order(base) == [0, 1, 2] and order(base.with_attribute("block_sorting", True)) == [1, 0, 2]
+    static = base.with_attribute("static_scheduling", True).scheduled(matrix).collect()
+    assert sorted(r.blk for r in static) == [0, 1, 2] and all(r.worker in (0, 1) for r in static)
+    assert base.with_attribute("small_block", 4).small_size(80) == 10 and base.small_size(80) == 80
+    assert config.start(base, master="local[8]") is not None and spark.range(3).count() == 3
+
+
+def test_halving_goes_on_while_it_pays(spark):
+    matrix = spark.createDataFrame([(b, b) for b in range(16)], "blk long, dep long")
+    found, times = blocks.halved_while(matrix, "blk", lambda m: abs(m.select("blk").distinct().count() - 4))
+    assert times == 2 and found.select("blk").distinct().count() == 4
+
+
+def test_command_renumbers_a_file(spark, tmp_path, capsys):
+    n = 3
+    tets = fixtures.tetrahedra(spark, n).select(F.lit("tet").alias("kind"), "id", F.transform("nodes", lambda v: fixtures.shuffled(v, (n + 1) ** 3)).alias("nodes"), "ref")
+    ver = renumber.permuted(fixtures.vertices(spark, n), spark.range(1, (n + 1) ** 3 + 1).select(F.col("id").alias("old_id"), fixtures.shuffled(F.col("id"), (n + 1) ** 3).alias("new_id")))
+    source, target = str(tmp_path / "a"), str(tmp_path / "b.mesh")
+    mesh_io.write_mesh(source, ver, tets)
+    for options in (["-stats"], ["-scheme", "4"], ["-fixbnd"], ["-gmlib", "generic"], ["-gmlib", "matrix", "-scheme", "1"]):
+        cli.main(["-in", source, "-out", target, "-nproc", "2", *options], spark)
+        ver2, tets2 = mesh_io.read_mesh(spark, target)
+        assert mesh_io.bad_elements(tets2, ver2).count() == 0 and session.id_report(ver2).first()["dense"] and session.id_report(tets2).first()["dense"]
+        shape = lambda v, t: sorted(tuple(sorted(r)) for r in incidence.incidence(t).join(v.withColumnRenamed("id", "node"), "node").groupBy("elem").agg(F.sort_array(F.collect_list(F.concat_ws(" ", "x", "y", "z"))).alias("c")).select(*(F.col("c")[i] for i in range(4))).collect())
+        assert shape(ver2, tets2) == shape(ver, tets)
+    assert "before tet" in capsys.readouterr().out
+    with pytest.raises(ValueError):
+        mesh_io.read_mesh(spark, target, ["no such kind"])
+    with pytest.raises(ValueError):
+        renumber.Renumbering(gmlib="none")
+
+
+def test_renumbering_lowers_dependencies(spark):
+    n = 6
+    nv = (n + 1) ** 3
+    tets = fixtures.tetrahedra(spark, n).select(F.lit("tet").alias("kind"), "id", F.transform("nodes", lambda v: fixtures.shuffled(v, nv)).alias("nodes"))
+    points = renumber.permuted(fixtures.vertices(spark, n), spark.range(1, nv + 1).select(F.col("id").alias("old_id"), fixtures.shuffled(F.col("id"), nv).alias("new_id")))
+    _, moved = renumber.renumbered_mesh(points, tets)
+    share = lambda t: cli.stats(t, nv, 1)[0][1]
+    assert share(moved.select("kind", F.col("new_id").alias("id"), "nodes")) < share(tets)
+
+
+def test_no_shared_folder_on_a_cluster(spark, monkeypatch):
+    class Cluster:
+        conf = spark.conf
+        sparkContext = type("C", (), {"master": "spark://host:7077"})
+
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        with pytest.raises(RuntimeError):
+            session.shared_folder(Cluster)
