@@ -1,4 +1,9 @@
-"""Near copies by exact Jaccard similarity of word shingles, found by prefix filtering."""
+"""Near copies by exact Jaccard similarity of word shingles.
+
+SimHash fingerprints of the shingle sets, linked by pigeonring filtering, give the first
+candidates. At similarity 0.8 fingerprints differ in about ten of 64 bits, beyond any radius
+that still tells sets apart, so prefix filtering finds the pairs that they leave.
+"""
 
 from __future__ import annotations
 
@@ -10,11 +15,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import by_batch, pick, raw_texts, stored
+from gridloom.llm.common import by_batch, pick, raw_texts, stored, unused
 from gridloom.llm.components import star_components
+from gridloom.llm.simhash import linked_fingerprints, majority
 
 WORDS, PERCENT = 5, 80
 FULL = 32
+#: Pivots of a full shingle in each round; None: all sets outside its largest component.
+ROUNDS = (1, 16, None)
+PAIR_ROWS = 50_000
 SKETCH = 1024
 SAMPLE_DOCS, COMMON = 20_000, 100_000
 _TEXT_KEY = ("t1", "t2")
@@ -88,7 +97,7 @@ def _common_shingles(docs: DataFrame, id_col: str, text_col: str) -> tuple[np.nd
 
 
 def _marks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A stored row (r, id, t1, t2, s1, s2, n, prefix, sketch) for each document; s1 and s2 stand for its set."""
+    """A stored row (r, id, t1, t2, s1, s2, n, fp, prefix, sketch) for each document; s1 and s2 stand for its set."""
     sent = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, id_col, text_col))
     keyed = _keyed(docs, id_col, text_col)
     kind = dict(keyed.dtypes)["id"]
@@ -99,10 +108,10 @@ def _marks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         heads = [prefix(s, sent.value) for s in sets]
         offsets = np.concatenate(([0], np.cumsum([len(p) for p in heads]))).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(heads).view(np.int64)))
-        columns = [batch.column(0), batch.column(2), batch.column(3), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array([len(s) for s in sets], pa.int32()), lists, pa.array([sketch(s) for s in sets], pa.binary())]
-        return pa.record_batch(columns, names=["id", "t1", "t2", "s1", "s2", "n", "prefix", "sketch"])
+        columns = [batch.column(0), batch.column(2), batch.column(3), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array([len(s) for s in sets], pa.int32()), pa.array(np.array([majority(s) for s in sets], np.uint64).view(np.int64)), lists, pa.array([sketch(s) for s in sets], pa.binary())]
+        return pa.record_batch(columns, names=["id", "t1", "t2", "s1", "s2", "n", "fp", "prefix", "sketch"])
 
-    rows = by_batch(keyed, run, f"id {kind}, t1 long, t2 long, s1 long, s2 long, n int, prefix array<long>, sketch binary")
+    rows = by_batch(keyed, run, f"id {kind}, t1 long, t2 long, s1 long, s2 long, n int, fp long, prefix array<long>, sketch binary")
     return stored(rows.select(F.monotonically_increasing_id().alias("r"), "*"), "shingle-marks")
 
 
@@ -157,16 +166,30 @@ def _met(sets: DataFrame, percent: int, full: int) -> DataFrame:
     return stored(rows.mapInArrow(run, "tok long, u long, v long, n long, pos long"), "prefix-meetings")
 
 
-def _crossing(crowd: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, every: bool) -> DataFrame:
-    """Pairs (u, v) of different components under one full shingle.
+def _alike_fingerprints(sets: DataFrame) -> DataFrame:
+    """Pairs (u, v) of sets whose fingerprints are linked by pigeonring filtering: each set with the first of its fingerprint, and firsts along the links."""
+    first = stored(sets.where("n > 0").groupBy("fp").agg(F.min("r").alias("first")), "fingerprints")
+    same = sets.join(first, "fp").where("r <> first").select(F.col("first").alias("u"), F.col("r").alias("v"))
+    links = linked_fingerprints(first.select("fp"))
+    one, two = (first.select(F.col("fp").alias(c), F.col("first").alias(f"r{c}")) for c in "uv")
+    return same.union(links.join(one, "u").join(two, "v").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v"))).distinct()
+
 
-    Either every such pair that size, place and sketch let pass, or those with one pivot
-    alone: the set whose shared shingle comes first, as an original's does among its copies.
+def _crossing(crowd: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, pivots: int | None) -> DataFrame:
+    """Pairs (u, v) of different components under one full shingle that size, place and sketch let pass.
+
+    Each pivot meets all sets of the shingle. Pivots are sets of different components, those
+    whose shared shingle comes first, as an original's does among its copies; or all sets
+    outside the largest component, which leaves no pair out.
     """
     rows = crowd.join(labels, F.col("u") == F.col("node"), "left").select("tok", "u", "n", "pos", F.coalesce("root", "u").alias("label"))
     rows = rows.join(sets.select(F.col("r").alias("u"), "sketch"), "u").select("tok", "u", "n", "pos", "label", "sketch")
 
+    def made(us: list[np.ndarray], vs: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        us, vs, held = [], [], 0
         for table in _whole_runs(batches):
             tok, u, n, pos, label = (table.column(i).to_numpy() for i in range(5))
             bits = np.frombuffer(b"".join(table.column(5).to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
@@ -175,14 +198,23 @@ def _crossing(crowd: DataFrame, labels: DataFrame, sets: DataFrame, percent: int
                 names, which, counts = np.unique(label[a:b], return_inverse=True, return_counts=True)
                 if len(names) < 2:
                     continue
-                largest = np.argmax(counts)
-                probes = np.lexsort((u[a:b], pos[a:b]))[:1] if not every else np.flatnonzero(which != largest)
+                probes = np.lexsort((u[a:b], pos[a:b]))
+                if pivots is None:
+                    probes = probes[which[probes] != np.argmax(counts)]
+                else:
+                    probes = probes[np.sort(np.unique(which[probes], return_index=True)[1])][:pivots]
                 for p in (a + probes).tolist():
                     other = a + np.flatnonzero(label[a:b] != label[p])
                     other = other[_may_hold(n[p], n[other], n[p] - pos[p], n[other] - pos[other], percent)]
                     other = other[np.bitwise_count(bits[other] ^ bits[p]).sum(1, dtype=np.int64) * (100 + percent) <= (100 - percent) * (n[other] + n[p])]
-                    if len(other):
-                        yield pa.record_batch([pa.array(np.minimum(u[other], u[p])), pa.array(np.maximum(u[other], u[p]))], names=["u", "v"])
+                    us.append(np.minimum(u[other], u[p]))
+                    vs.append(np.maximum(u[other], u[p]))
+                    held += len(other)
+                    if held > PAIR_ROWS:
+                        yield made(us, vs)
+                        us, vs, held = [], [], 0
+        if held:
+            yield made(us, vs)
 
     return rows.repartition("tok").sortWithinPartitions("tok").mapInArrow(run, "u long, v long").distinct()
 
@@ -225,23 +257,26 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """A row (id, t1, t2, root) for each input row; rows of one root are copies of each other.
 
     Groups are the components over links of Jaccard similarity percent/100 or more between
-    the sets of five-word shingles. No link is missed: two similar sets share a shingle of
-    their prefixes. All sets under one shingle are paired if they are at most `full`; of a
-    fuller one only those that are not linked yet, first with a pivot, then each with each.
-    Sizes, places in the prefix and parity sketches prune pairs that cannot reach the
-    similarity; the rest are settled by their whole sets. Shingles are told apart by 64
-    bits, sets and texts by 128. Texts without words are copies of each other.
+    the sets of five-word shingles. Candidates are sets whose SimHash fingerprints are
+    linked, and, as no similar pair may be missed, sets that share a shingle of their
+    prefixes. All sets under one shingle are paired if they are at most `full`; of a fuller
+    one only those that are not linked yet, first with few pivots, in the end each outside
+    the largest component with all. Sizes, places in the prefix and parity sketches prune
+    pairs that cannot reach the similarity; the rest are settled by their whole sets.
+    Shingles are told apart by 64 bits, sets and texts by 128. Texts without words are
+    copies of each other.
     """
     marks = _marks(docs, id_col, text_col)
     firsts = stored(marks.groupBy("s1", "s2").agg(F.min("r").alias("first")), "distinct-sets")
-    sets = stored(marks.join(firsts.select(F.col("first").alias("r")), "r").select("r", "t1", "t2", "n", "prefix", "sketch"), "shingle-sets")
+    sets = stored(marks.join(firsts.select(F.col("first").alias("r")), "r").select("r", "t1", "t2", "n", "fp", "prefix", "sketch"), "shingle-sets")
     met = _met(sets, percent, full)
-    known = _verified(met.where("v is not null").select("u", "v").distinct(), sets, docs, id_col, text_col, percent)
+    candidates = met.where("v is not null").select("u", "v").union(_alike_fingerprints(sets)).distinct()
+    known = _verified(candidates, sets, docs, id_col, text_col, percent)
     crowd = met.where("v is null").drop("v")
     roots = star_components(known)
     if not crowd.isEmpty():
-        for every in (False, True):
-            pairs = stored(_crossing(crowd, roots.withColumnRenamed("u", "node"), sets, percent, every), "crossing-pairs")
+        for pivots in ROUNDS:
+            pairs = stored(_crossing(crowd, roots.withColumnRenamed("u", "node"), sets, percent, pivots), "crossing-pairs")
             if not pairs.isEmpty():
                 known = known.union(_verified(pairs, sets, docs, id_col, text_col, percent))
                 roots = star_components(known)
@@ -260,9 +295,10 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = groups.groupBy("root", "id", *_TEXT_KEY).agg(F.count("*").alias("n"))
     best = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", *_TEXT_KEY, "n")).alias("k"))
     kept = stored(best.select(F.col("k.id").alias("__id"), F.col("k.t1").alias("__k1"), F.col("k.t2").alias("__k2"), F.col("k.n").alias("__n")), "kept-keys")
-    text, key = F.col(f"`{text_col}`"), ["__t1", "__t2"]
-    keyed = docs.withColumn("__t1", F.xxhash64(text)).withColumn("__t2", F.xxhash64(F.lit(1), text))
-    found = keyed.join(kept, (F.col("__t1") == F.col("__k1")) & (F.col("__t2") == F.col("__k2")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__id")))
+    text, names = F.col(f"`{text_col}`"), [unused(docs, c) for c in ("t1", "t2", "id", "k1", "k2", "n")]
+    t1, t2, own, k1, k2, n = names
+    keyed = docs.withColumn(t1, F.xxhash64(text)).withColumn(t2, F.xxhash64(F.lit(1), text))
+    found = keyed.join(kept.toDF(own, k1, k2, n), (F.col(t1) == F.col(k1)) & (F.col(t2) == F.col(k2)) & F.col(f"`{id_col}`").eqNullSafe(F.col(own)))
     if not kept.where("__n > 1").isEmpty():
-        found = found.dropDuplicates(key)
-    return found.drop("__id", "__k1", "__k2", "__n", *key)
+        found = found.dropDuplicates([t1, t2])
+    return found.drop(*names)

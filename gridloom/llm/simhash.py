@@ -17,6 +17,15 @@ _LANE = np.arange(8, dtype=np.int64) * 256
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have; zero without hashes."""
+    total = np.zeros((8, 8), np.int64)
+    for i in range(0, len(hashes), _CHUNK):
+        lanes = hashes[i : i + _CHUNK].view(np.uint8).reshape(-1, 8) + _LANE
+        total += np.bincount(lanes.ravel(), minlength=2048).reshape(8, 256) @ _BITS
+    return int.from_bytes(np.packbits(total.ravel() * 2 > len(hashes), bitorder="little").tobytes(), "little")
+
+
 def fingerprint(text: bytes, words: int = 3) -> int:
     """64-bit SimHash: a bit is set if more than half of the shingles' hashes have it."""
     tokens = text.lower().split()  # bytes: lower() and split() know ASCII only
@@ -26,13 +35,8 @@ def fingerprint(text: bytes, words: int = 3) -> int:
     ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     ends = ends[words - 1 :] if len(tokens) >= words else ends[-1:]
-    starts, ends, total = starts.tolist(), ends.tolist(), np.zeros((8, 8), np.int64)
     h = xxhash.xxh64_intdigest
-    for i in range(0, len(ends), _CHUNK):
-        hashes = np.array([h(joined[a:b], SEED) for a, b in zip(starts[i : i + _CHUNK], ends[i : i + _CHUNK])], np.uint64)
-        lanes = hashes.view(np.uint8).reshape(-1, 8) + _LANE
-        total += np.bincount(lanes.ravel(), minlength=2048).reshape(8, 256) @ _BITS
-    return int.from_bytes(np.packbits(total.ravel() * 2 > len(ends), bitorder="little").tobytes(), "little")
+    return majority(np.array([h(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist())], np.uint64))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:

@@ -163,7 +163,7 @@ class BatchEncoder:
     that they are forgotten and encoded anew.
     """
 
-    KEPT = 300_000
+    KEPT = 200_000
 
     def __init__(self, model: SpModel):
         self.tokenizer = build_tokenizer(model)

@@ -48,7 +48,7 @@ FIRM = np.array([0.5, 0.5, 2.0, 2.0, 2.0, 2.0, 2.0])
 #: Chance that a text without any matched clause is toxic.
 GROUND = 0.01
 KNOWN_WEIGHT, MOST_WEIGHT = 3.0, 4.0
-KEPT_WORDS = 300_000
+KEPT_WORDS = 60_000
 
 State = Hashable
 Adds = tuple[int, ...]
@@ -310,8 +310,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, id_col: str
         flat = [[x for c in set(clauses) for x in c] for clauses in found]  # equal clauses of a text count once
         return pa.record_batch([batch.column(0), pa.array(flat, pa.list_(pa.float64()))], names=["toxic", "x"])
 
-    found = by_batch(sample.select("toxic", "sig", "text"), measure, "toxic int, x array<double>").where("size(x) > 0").orderBy("toxic", "x").collect()  # matched clauses of the sample
-    return Model(every, fitted([([tuple(r["x"][i : i + 6]) for i in range(0, len(r["x"]), 6)], r["toxic"]) for r in found]))
+    found = by_batch(sample.select("toxic", "sig", "text"), measure, "toxic int, x array<double>").where("size(x) > 0").collect()  # matched clauses of the sample
+    return Model(every, fitted([([tuple(r["x"][i : i + 6]) for i in range(0, len(r["x"]), 6)], r["toxic"]) for r in sorted(found, key=lambda r: (r["toxic"], r["x"]))]))
 
 
 def score_texts(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:

@@ -62,6 +62,29 @@ def test_stage_keeps_one_of_each_group(spark):
     assert corpus_pipeline.simhash(spark, docs.limit(0), "").count() == 0
 
 
+@pytest.mark.parametrize("rounds", [(1, 16, None), (None,), (2, None)])
+def test_crowds_of_sets_apart_are_linked_whole(spark, rounds, monkeypatch):
+    """Many sets share shingles of their prefixes, in several groups that are no copies of each other."""
+    monkeypatch.setattr(near_copies, "ROUNDS", rounds)
+    rng = random.Random(3)
+    passage, texts = [f"p{i}" for i in range(40)], []
+    for g in range(6):
+        own = [f"g{g}w{i}" for i in range(8)]
+        for _ in range(20):
+            w = passage + own
+            for _ in range(rng.randint(0, 2)):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(1000)}"
+            texts.append(" ".join(w))
+    got = near_copies.near_copy_groups(frame(spark, enumerate(texts)), full=4).collect()
+    roots, want = {r.id: r.root for r in got}, groups(texts)
+    assert len({(roots[i], w) for i, w in enumerate(want)}) == len(set(roots.values())) == len(set(want))
+
+
+def test_columns_of_the_same_names_stay(spark):
+    rows = spark.createDataFrame([(1, "a b c d e f", "x", "y"), (2, "a b c d e f", "x", "y")], "doc_id long, text string, t1 string, k1 string")
+    assert [tuple(r) for r in near_copies.drop_near_copies(rows).collect()] == [(1, "a b c d e f", "x", "y")]
+
+
 def test_stages_decide_by_row(spark):
     from gridloom.llm import decontam
 
