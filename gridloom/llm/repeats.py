@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +26,10 @@ FULL_KEY, SALT_DOCS = 1024, 64
 _SIZE_BITS = 31
 CHUNK_BYTES = 1 << 20
 PART_ROWS = 20_000
-ID_ROWS = 4_000_000
+#: Ids of two longs that are broadcast at most: 16 MB.
+ID_ROWS = 1_000_000
+#: A key is common if so many documents of a sample have it, which then has SAMPLE_DOCS documents about.
+SAMPLE_DOCS, COMMON_DOCS = 20_000, 40
 #: (segments, their groups, their documents) to (segment, first token, tokens) of every part that an
 #: earlier document of the group has too, each at least WINDOW long.
 Matcher = Callable[[list[bytes], list[int], list[int]], list[tuple[int, int, int]]]
@@ -142,19 +146,39 @@ def _measured(rows: DataFrame, kind: type) -> DataFrame:
 def _shared_keys(rows: DataFrame, kind: type) -> DataFrame:
     """Rows (d, shared): for each document its keys that another document has too, with the salts of each.
 
-    A key of more than FULL_KEY documents gets a salt for every SALT_DOCS of them.
+    A key of more than FULL_KEY documents gets a salt for every SALT_DOCS of them. Keys that
+    a sample finds common never bring their documents into one task; whatever the sample
+    says, the result is the same.
     """
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, found = batch.column(0).to_numpy(), []
-        for text in raw_texts(batch.column(1)):
-            found.append(np.unique(window_keys(kind.tokens(text))))
-        sizes = list(map(len, found))
-        return pa.record_batch([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(ids, sizes))], names=["h", "d"])
+    def keys(of: DataFrame, known: Broadcast | None = None, common: bool = False) -> DataFrame:
+        """Rows (h, d): all keys, or those that are among the known ones (common) or are not."""
 
-    keys = by_batch(rows.select("d", "text"), run, "h long, d long")
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            ids, found = batch.column(0).to_numpy(), []
+            for text in raw_texts(batch.column(1)):
+                found.append(np.unique(window_keys(kind.tokens(text))))
+            sizes = list(map(len, found))
+            h, d = np.concatenate(found), np.repeat(ids, sizes)
+            if known is not None:
+                wanted = np.isin(h, known.value) == common
+                h, d = h[wanted], d[wanted]
+            return pa.record_batch([pa.array(h.view(np.int64)), pa.array(d)], names=["h", "d"])
+
+        return by_batch(of.select("d", "text"), run, "h long, d long")
+
+    share = max(1, rows.count() // SAMPLE_DOCS)
+    sample = keys(rows.where(F.pmod(F.xxhash64("d"), F.lit(share)) == 0)) if share > 1 else keys(rows)
+    often = sample.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_DOCS)
+    spark = rows.sparkSession
+    known = spark.sparkContext.broadcast(np.sort(np.array([r["h"] for r in often.select("h").collect()], np.int64).view(np.uint64)))  # the sample bounds it
+    # Common keys are counted with partial sums and joined back by broadcast; only others meet by a window.
     same = Window.partitionBy("h")
-    met = keys.select("h", "d", F.min("d").over(same).alias("lo"), F.max("d").over(same).alias("hi"), F.count("*").over(same).alias("n")).where("lo < hi")
+    rare = keys(rows, known).select("h", "d", F.min("d").over(same).alias("lo"), F.max("d").over(same).alias("hi"), F.count("*").over(same).alias("n")).where("lo < hi")
+    met = rare.select("h", "d", "n")
+    if len(known.value):
+        counts = keys(rows, known, True).groupBy("h").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+        met = met.union(keys(rows, known, True).join(F.broadcast(counts), "h").select("h", "d", "n"))
     salts = F.when(F.col("n") > FULL_KEY, F.ceil(F.col("n") / SALT_DOCS)).otherwise(0).cast("int")
     return met.groupBy("d").agg(F.collect_list(F.struct("h", salts.alias("salts"))).alias("shared"))
 
@@ -199,7 +223,7 @@ def _segments(joined: DataFrame, kind: type) -> DataFrame:
                         last = out[-1]  # goes on where the mark before it ends
                         out[-1] = (*last[:5], s + size - last[4], None)
                     else:
-                        out.append((key, 0, d, rk, s, size, None))
+                        out.append((d & (2**64 - 1), 0, d, rk, s, size, None))  # settled: any task will do
         return pa.Table.from_batches([*done, made(out)])
 
     return by_batch(joined, run, SEGMENT)

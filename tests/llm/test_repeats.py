@@ -63,6 +63,7 @@ def frame(spark, docs):
 def test_suffix_dedup_is_the_brute_force(spark, full, monkeypatch):
     monkeypatch.setattr(repeats, "FULL_KEY", full)
     monkeypatch.setattr(repeats, "SALT_DOCS", 4)
+    monkeypatch.setattr(repeats, "COMMON_DOCS", 40 if full == 3 else 2)
     docs = bytes_docs()
     found = suffix_dedup.repeated_bytes(frame(spark, docs).repartition(5))
     got = sorted((tuple(r) for r in found.report().collect()), key=repr)
@@ -75,6 +76,7 @@ def test_suffix_dedup_is_the_brute_force(spark, full, monkeypatch):
 def test_rlz_dedup_is_the_brute_force(spark, full, monkeypatch):
     monkeypatch.setattr(repeats, "FULL_KEY", full)
     monkeypatch.setattr(repeats, "SALT_DOCS", 4)
+    monkeypatch.setattr(repeats, "COMMON_DOCS", 40 if full == 3 else 2)
     texts = ["\t".join(t) + "\n" for t in corpus(5, ["red", "Red", "blue", "é", "x1", "of", "the"])]
     docs = list(enumerate(texts)) + [(500, None), (None, texts[0]), (3, texts[5]), (501, " ".join(texts[1:4]))]
     got = sorted((tuple(r) for r in rlz_dedup.repeated_words(frame(spark, docs).repartition(5)).report().collect()), key=repr)
