@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see: the session's spark.checkpoint.dir.
 
-    Only where the session names none (single-machine tests) a folder of its own is made.
+    A local session that names none (tests) gets a folder of its own; on a cluster that is
+    an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = spark.conf.get("gridloom.checkpoint.dir", None)
         if not path:
             path = "file://" + tempfile.mkdtemp(prefix="gridloom-checkpoint-")
@@ -37,7 +40,16 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(conf).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._stored_at = place
+    return found
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a stored table that nothing will read again; other frames are left alone."""
+    place = getattr(df, "_stored_at", None)
+    if place is not None:
+        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import stored
+from gridloom.llm.common import forget, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -26,8 +26,8 @@ def star_components(edges: DataFrame) -> DataFrame:
     Nodes that are their own root have no row. No neighbour list is ever gathered in one
     place: each step takes a minimum per node and joins it back, so that a node with very
     many neighbours is pre-aggregated and its join can be split. Every round ends in a
-    stored table; the number of rounds grows with the logarithm of the nodes. No edges:
-    no rows.
+    stored table, and the table before it goes; the number of rounds grows with the
+    logarithm of the nodes. No edges: no rows.
     """
     edges = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
     mark = None
@@ -35,5 +35,6 @@ def star_components(edges: DataFrame) -> DataFrame:
         new = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == mark or not new[0]:
             return edges.select("u", F.col("v").alias("root"))
-        mark = new
+        mark, old = new, edges
         edges = stored(_small_star(_large_star(edges)), "edges")
+        forget(old)

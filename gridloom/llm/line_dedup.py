@@ -17,7 +17,8 @@ from gridloom.llm.common import by_batch, pick, raw_texts, stored
 
 SHARD_KEYS = 1 << 18
 BROADCAST_BYTES = 64 << 20
-SALTS = 16
+#: Distinct texts for one salt of the routed way, and the most salts.
+SALT_TEXTS, MOST_SALTS = 50_000, 4096
 
 
 def line_key(line: bytes) -> bytes:
@@ -232,9 +233,11 @@ def _routed(texts: DataFrame, index: DataFrame, shards: int, min_docs: int) -> D
     """Rows (t0, t1, dropped): for each distinct text, the hashes of its lines that the index has.
 
     Equal texts lose equal lines, so texts are merged first. The salt spreads a line that
-    very many texts have over SALTS tasks, each with its copy of the shard.
+    very many texts have over tasks, each with its copy of the shard; salts follow the
+    number of texts.
     """
-    distinct = texts.select(F.xxhash64("text").alias("t0"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("t1"), "text")
+    distinct = stored(texts.select(F.xxhash64("text").alias("t0"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("t1"), "text").dropDuplicates(["t0", "t1"]), "distinct-texts")
+    salts = min(MOST_SALTS, 1 + distinct.count() // SALT_TEXTS)
 
     def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, t0, t1 = [], batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -243,10 +246,10 @@ def _routed(texts: DataFrame, index: DataFrame, shards: int, min_docs: int) -> D
         rows = list(dict.fromkeys(rows))
         return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["t0", "t1", "h0", "h1"])
 
-    probes = by_batch(distinct, hashed, "t0 long, t1 string, h0 long, h1 long").select(F.pmod("h0", F.lit(shards)).cast("int").alias("shard"), F.pmod("t0", F.lit(SALTS)).cast("int").alias("salt"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("data"), "t0", "t1", "h0", "h1")
+    probes = by_batch(distinct, hashed, "t0 long, t1 string, h0 long, h1 long").select(F.pmod("h0", F.lit(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64("t0", "t1"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("data"), "t0", "t1", "h0", "h1")
     none = F.lit(None)
-    heads = index.select("shard", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"), F.lit(0).alias("kind"), "data", none.cast("long").alias("t0"), none.cast("string").alias("t1"), none.cast("long").alias("h0"), none.cast("long").alias("h1"))
-    stream = heads.union(probes).repartition(max(shards * SALTS, 8), "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
+    heads = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), "data", none.cast("long").alias("t0"), none.cast("string").alias("t1"), none.cast("long").alias("h0"), none.cast("long").alias("h1"))
+    stream = heads.union(probes).repartition(max(shards * salts, 8), "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None

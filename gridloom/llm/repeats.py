@@ -355,7 +355,7 @@ class Repeats:
         return by_batch(marked, run, schema).union(kept).union(gone)
 
     def kept_texts(self) -> DataFrame:
-        """Rows (doc_id, kept binary): what is left of each row's text."""
+        """Rows (doc_id, kept binary): what is left of each row's text; null texts as none, repeated rows each."""
         kind = self.kind
         whole = self.rows.join(self.marks, ["d", "rk"], "left").join(self.copies.withColumn("copy", F.lit(True)), ["d", "rk"], "left").select("d", "text", "spans", "copy")
 

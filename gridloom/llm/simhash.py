@@ -13,6 +13,8 @@ from gridloom.llm.components import star_components
 
 SEED = 42
 _CHUNK = 1 << 16
+#: Distinct fingerprints from which keys are long: under a short key about one in sixteen then meets another by chance.
+LONG_FROM = 1 << 28
 _LANE = np.arange(8, dtype=np.int64) * 256
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -63,21 +65,27 @@ def _box(fp: Column, shift: int, width: int) -> Column:
     return F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit(_mask(width)))
 
 
-def _ring_keys(fp: Column, max_bits: int) -> Column:
+def _ring_keys(fp: Column, max_bits: int, long: bool = False) -> Column:
     """Keys under which two fingerprints within max_bits meet.
 
     With max_bits + 1 boxes on a ring some chain of consecutive boxes starts with equal
     boxes and has at most one differing bit in its first two. So one half of the second box
     is equal as well: a key is the first box and either half of the next, about half the
-    fingerprint, instead of one box alone.
+    fingerprint, instead of one box alone. Long keys, for large tables, add a third of the
+    box after: the whole chain has max_bits differing bits at most, so one of max_bits + 1
+    parts of it is equal too.
     """
     boxes = _segments(max_bits + 1)
     keys = []
     for i, (shift, width) in enumerate(boxes):
         at, next_width = boxes[(i + 1) % len(boxes)]
         low = next_width // 2
+        last, last_width = boxes[(i + 2) % len(boxes)]
+        cuts = [last_width * j // (max_bits + 1) for j in range(max_bits + 2)]
+        thirds = [_box(fp, last + a, b - a) for a, b in zip(cuts, cuts[1:])] if long else [F.lit(0).cast("long")]
         for part, (s, w) in enumerate([(at, low), (at + low, next_width - low)]):
-            keys.append(F.struct(F.lit(2 * i + part).alias("start"), _box(fp, shift, width).alias("first"), _box(fp, s, w).alias("half")))
+            for j, third in enumerate(thirds):
+                keys.append(F.struct(F.lit(2 * i + part).alias("start"), F.lit(j).alias("piece"), _box(fp, shift, width).alias("first"), _box(fp, s, w).alias("half"), third.alias("third")))
     return F.array(*keys)
 
 
@@ -96,20 +104,22 @@ def _chain_holds(a: Column, b: Column, start: Column, max_bits: int) -> Column:
     return found
 
 
-def linked_fingerprints(fps: DataFrame, max_bits: int = 2, bucket: int = 16) -> DataFrame:
+def linked_fingerprints(fps: DataFrame, max_bits: int = 2, bucket: int = 16, long_from: int = LONG_FROM) -> DataFrame:
     """Edges (u, v) between distinct fingerprints (column fp) that span every link of max_bits or fewer.
 
-    Keys met by at most `bucket` fingerprints give candidate pairs, which the chain
-    condition prunes before the full count of differing bits. Fingerprints under a fuller
-    key are not paired: each is sent to the 65 points within one bit of it. Two
+    Keys grow with the table: from `long_from` fingerprints on they have 39 bits instead of
+    32, so that chance seldom fills one. Keys met by at most `bucket` give candidate pairs,
+    which the chain condition prunes before the full count of differing bits. Fingerprints
+    under a fuller key are not paired: each is sent to the 65 points within one bit of it. Two
     fingerprints are within two bits exactly if they share such a point, and all that share
     one are within two bits of each other, so an edge to the least of them keeps the same
     components. At most 65 fingerprints share a point, however large a group of copies is.
     """
     if max_bits != 2:
         raise ValueError("links are found for max_bits = 2 only; the star points of full keys rest on it")
-    keys = fps.select("fp", F.explode(_ring_keys(F.col("fp"), max_bits)).alias("k")).select("fp", "k.start", "k.first", "k.half")
-    key = ["start", "first", "half"]
+    long = fps.count() >= long_from
+    key = ["start", "piece", "first", "half", "third"]
+    keys = fps.select("fp", F.explode(_ring_keys(F.col("fp"), max_bits, long)).alias("k")).select("fp", *(f"k.{c}" for c in key))
     counts = keys.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
     met = stored(keys.join(counts, key), "ring")
     cold = met.where(F.col("n") <= bucket).drop("n")

@@ -69,8 +69,8 @@ def test_links_of_full_buckets_are_whole(spark):
     fps |= {rng.getrandbits(64) for _ in range(300)}
     fps = sorted(fps)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    for bucket in (4, 1000):
-        edges = simhash.linked_fingerprints(spark.createDataFrame([(f,) for f in signed], "fp long"), bucket=bucket)
+    for bucket, long_from in ((4, 1 << 28), (1000, 1 << 28), (1000, 0)):
+        edges = simhash.linked_fingerprints(spark.createDataFrame([(f,) for f in signed], "fp long"), bucket=bucket, long_from=long_from)
         roots = dict(simhash.star_components(edges).collect())
         want = components(fps)
         groups = Counter(want)
@@ -149,6 +149,9 @@ def test_line_dedup_is_the_brute_force(spark, bound):
     got = {r[0]: tuple(r)[1:] for r in line_dedup.line_report(frame(spark, texts), 5, broadcast_bytes=bound).collect()}
     assert got == dict(enumerate(plain_lines(texts, 5)))
     assert line_dedup.line_report(frame(spark, []), 5, broadcast_bytes=bound).count() == 0
+    copies = ["same\nlines\nhere"] * 10_000 + ["same\nother"]
+    many = line_dedup.line_report(frame(spark, copies), 10, broadcast_bytes=bound).groupBy("n_lines", "n_dropped").count().collect()
+    assert {tuple(r) for r in many} == {(3, 3, 10_000), (2, 1, 1)}
     kept = line_dedup.drop_frequent_lines(frame(spark, texts), 5, broadcast_bytes=bound, counts=("a", "b"))
     assert kept.columns[:9] == frame(spark, []).columns and {r.n_lines for r in kept.collect()} == {"x"}
 
