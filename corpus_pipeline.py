@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import stored
+from gridloom.llm.common import forget, stored
 from gridloom.llm.decontam import drop_contaminated
 from gridloom.llm.line_dedup import drop_frequent_lines
 from gridloom.llm.near_copies import drop_near_copies
@@ -26,7 +26,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each component of near copies: five-word Jaccard 0.8 or more."""
+    """One document, that of the smallest doc_id, of each component of near copies: five-word Jaccard 0.8 or more.
+
+    SimHash fingerprints and pigeonring filtering give the first links, prefix filtering those beyond their radius.
+    """
     return drop_near_copies(docs)
 
 
@@ -47,8 +50,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again by the next."""
+    """All stages over documents, each written to the shared folder and read again by the next; the table before it goes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)
