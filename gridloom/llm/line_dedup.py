@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import by_batch, pick, raw_texts, stored
 
 SHARD_KEYS = 1 << 18
+MOST_COUNT = 2**16 - 1
 BROADCAST_BYTES = 64 << 20
 #: Distinct texts for one salt of the routed way, and the most salts.
 SALT_TEXTS, MOST_SALTS = 50_000, 4096
@@ -81,11 +82,16 @@ class PerfectHash:
         return out
 
 
+def _print(hashes: np.ndarray) -> np.ndarray:
+    return hashes[:, 1].astype(np.uint64).astype(np.uint32)
+
+
 class CountIndex:
     """One shard: perfect hash of the first long of each line hash, with arrays of fingerprints and counts.
 
-    The fingerprint is the whole second long, so a line outside the index passes for one
-    in it with a chance of 2**-64 only.
+    A fingerprint is half of the second long, a count has two bytes and stops at MOST_COUNT.
+    Lines of the table that was counted are all in its index, so what they find is exact; a
+    line from elsewhere passes for one in it with a chance of 2**-32.
     """
 
     def __init__(self, places: PerfectHash, prints: np.ndarray, counts: np.ndarray, spare: np.ndarray):
@@ -99,8 +105,8 @@ class CountIndex:
         hashes, counts = hashes[first], counts[first]
         places = PerfectHash.build(hashes[:, 0].copy())
         at = places(hashes[:, 0])
-        prints, held = np.empty(len(at), np.int64), np.empty(len(at), np.uint32)
-        prints[at], held[at] = hashes[:, 1], np.minimum(counts, 2**32 - 1)
+        prints, held = np.empty(len(at), np.uint32), np.empty(len(at), np.uint16)
+        prints[at], held[at] = _print(hashes), np.minimum(counts, MOST_COUNT)
         return cls(places, prints, held, spare)
 
     def counts_of(self, hashes: np.ndarray) -> np.ndarray:
@@ -108,7 +114,7 @@ class CountIndex:
         if not len(self.prints):
             return np.zeros(len(hashes), np.int64)
         at = self.places(hashes[:, 0])
-        out = np.where((at >= 0) & (self.prints[at] == hashes[:, 1]), self.counts[at], 0).astype(np.int64)
+        out = np.where((at >= 0) & (self.prints[at] == _print(hashes)), self.counts[at], 0).astype(np.int64)
         for h0, h1, n in self.spare:
             out[(hashes[:, 0] == h0) & (hashes[:, 1] == h1)] = n
         return out
@@ -136,20 +142,20 @@ def line_counts(texts: DataFrame) -> DataFrame:
     return by_batch(texts, run, "h0 long, h1 long, n long").groupBy("h0", "h1").agg(F.sum("n").alias("n"))
 
 
-def build_index(texts: DataFrame, min_docs: int) -> tuple[DataFrame, int]:
-    """Stored rows (shard, data): the index of the lines of min_docs documents or more; number of shards.
+def build_index(texts: DataFrame) -> tuple[DataFrame, int]:
+    """Stored rows (shard, data): the index of all distinct lines; number of shards.
 
-    The shards follow the number of such lines, so each holds about 260,000 keys at most.
+    The shards follow the number of lines, so each holds about 260,000 keys at most.
     """
-    frequent = stored(line_counts(texts).where(F.col("n") >= min_docs), "frequent-lines")
-    shards = max(1, -(-frequent.count() // SHARD_KEYS))
+    counts = stored(line_counts(texts), "line-counts")
+    shards = max(1, -(-counts.count() // SHARD_KEYS))
 
     def build(table: pa.Table) -> pa.Table:
         h = np.stack([table.column(c).to_numpy() for c in ("h0", "h1")], axis=1)
         shard = int(table.column("shard")[0].as_py())
         return pa.table({"shard": pa.array([shard], pa.int32()), "data": pa.array([CountIndex.build(h, table.column("n").to_numpy()).dumped()], pa.binary())})
 
-    placed = frequent.withColumn("shard", F.pmod("h0", F.lit(shards)).cast("int"))
+    placed = counts.withColumn("shard", F.pmod("h0", F.lit(shards)).cast("int"))
     return stored(placed.groupBy("shard").applyInArrow(build, "shard int, data binary"), "line-index"), shards
 
 
@@ -185,13 +191,15 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, text_col: str = "te
     of docs keep their values; should docs have columns of the counts' names, give others
     in `counts`. An empty table gives no rows.
 
-    Document counts are aggregated by line hash; the lines that reach min_docs go into
-    perfect-hash shards, which documents probe. An index of up to broadcast_bytes is sent
+    Document counts are aggregated by line hash; all distinct lines go into perfect-hash
+    shards, which documents probe. An index of up to broadcast_bytes is sent
     to every executor. A larger one stays distributed: distinct line hashes are routed to
     their shard, and each shard's part of the stream is probed against its arrays alone.
     """
     spark, schema = docs.sparkSession, docs.schema
-    index, shards = build_index(pick(docs, text=text_col), min_docs)
+    if min_docs > MOST_COUNT:
+        raise ValueError(f"counts stop at {MOST_COUNT}")
+    index, shards = build_index(pick(docs, text=text_col))
     at = docs.columns.index(text_col)
     out = ", ".join([*(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(schema)), f"c{len(schema)} long, c{len(schema) + 1} long"])
     names = [*docs.columns, *counts]
@@ -204,12 +212,15 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, text_col: str = "te
             if not loaded:
                 loaded.update((s, CountIndex.loaded(data)) for s, data in held.value.items())
             keys, ends = _lines_of(raw_texts(batch.column(at)))
-            h = key_hashes(keys)
-            frequent = np.zeros(len(h), bool)
+            number: dict[bytes, int] = {}
+            at_key = np.array([number.setdefault(k, len(number)) for k in keys], np.int64)
+            h = key_hashes(list(number))
+            often = np.zeros(len(h), bool)
             shard = h[:, 0] % shards
             for s, own in loaded.items():
                 here = np.flatnonzero(shard == s) if shards > 1 else slice(None)
-                frequent[here] = own.counts_of(h[here]) >= min_docs
+                often[here] = own.counts_of(h[here]) >= min_docs
+            frequent = often[at_key]
             frequent &= np.fromiter(map(bool, keys), bool, len(keys))
             return _finished(batch, at, np.split(frequent, ends[:-1]))
 
