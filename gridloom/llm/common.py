@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -60,6 +61,15 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def give_back() -> None:
+    """Return the memory that a worker no longer uses to the system: Spark keeps workers for later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # not this C library
+        pass
+
+
 def by_batch(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str) -> DataFrame:
     """df.mapInArrow with a function of one batch; batches without rows are passed over."""
 
@@ -68,6 +78,7 @@ def by_batch(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Ta
             if batch.num_rows:
                 out = f(batch)
                 yield from out.to_batches() if isinstance(out, pa.Table) else [out]
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -15,14 +15,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import by_batch, pick, raw_texts, stored, unused
+from gridloom.llm.common import by_batch, forget, give_back, pick, raw_texts, stored, unused
 from gridloom.llm.components import star_components
 from gridloom.llm.simhash import linked_fingerprints, majority
 
 WORDS, PERCENT = 5, 80
 FULL = 32
 #: Pivots of a full shingle in each round; None: all sets outside its largest component.
-ROUNDS = (1, 16, None)
+ROUNDS = (8, None)
 PAIR_ROWS = 50_000
 SKETCH = 1024
 SAMPLE_DOCS, COMMON = 20_000, 100_000
@@ -215,6 +215,7 @@ def _crossing(crowd: DataFrame, labels: DataFrame, sets: DataFrame, percent: int
                         us, vs, held = [], [], 0
         if held:
             yield made(us, vs)
+        give_back()
 
     return rows.repartition("tok").sortWithinPartitions("tok").mapInArrow(run, "u long, v long").distinct()
 
@@ -231,8 +232,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, t
         return batch.select(["u", "v"]).filter(pa.array(ok))
 
     close = stored(by_batch(pairs.join(left, "u").join(right, "v").select("u", "v", "na", "nb", "a", "b"), near, "u long, v long"), "near-pairs")
-    wanted = close.select(F.col("u").alias("r")).union(close.select(F.col("v").alias("r"))).distinct()
-    wanted = stored(sets.join(wanted, "r").select("r", *_TEXT_KEY), "near-sets")
+    ends = close.select(F.col("u").alias("r")).union(close.select(F.col("v").alias("r"))).distinct()
+    wanted = stored(sets.join(ends, "r").select("r", *_TEXT_KEY), "near-sets")
     texts = _keyed(docs, id_col, text_col).join(wanted, list(_TEXT_KEY)).select("r", "text")
 
     def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -250,7 +251,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, t
         return batch.select(["u", "v"]).filter(pa.array(ok))
 
     joined = close.join(held.select(F.col("r").alias("u"), F.col("hs").alias("a")), "u").join(held.select(F.col("r").alias("v"), F.col("hs").alias("b")), "v")
-    return stored(by_batch(joined.select("u", "v", "a", "b"), alike, "u long, v long"), "similar-pairs")
+    similar = stored(by_batch(joined.select("u", "v", "a", "b"), alike, "u long, v long"), "similar-pairs")
+    for table in (close, wanted, held):
+        forget(table)
+    return similar
 
 
 def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, full: int = FULL) -> DataFrame:
@@ -278,8 +282,9 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         for pivots in ROUNDS:
             pairs = stored(_crossing(crowd, roots.withColumnRenamed("u", "node"), sets, percent, pivots), "crossing-pairs")
             if not pairs.isEmpty():
-                known = known.union(_verified(pairs, sets, docs, id_col, text_col, percent))
-                roots = star_components(known)
+                more = _verified(pairs, sets, docs, id_col, text_col, percent)
+                roots = star_components(roots.select("u", F.col("root").alias("v")).union(more))  # what is linked is a star already
+            forget(pairs)
     named = firsts.join(roots, F.col("first") == F.col("u"), "left").select("s1", "s2", F.coalesce("root", "first").alias("root"))
     return marks.join(named, ["s1", "s2"]).select("id", "t1", "t2", "root")
 

@@ -48,7 +48,7 @@ FIRM = np.array([0.5, 0.5, 2.0, 2.0, 2.0, 2.0, 2.0])
 #: Chance that a text without any matched clause is toxic.
 GROUND = 0.01
 KNOWN_WEIGHT, MOST_WEIGHT = 3.0, 4.0
-KEPT_WORDS = 60_000
+KEPT_WORDS = 150_000
 
 State = Hashable
 Adds = tuple[int, ...]
