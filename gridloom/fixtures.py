@@ -45,6 +45,11 @@ def shuffled(node: Column, size: int, factor: int = 5) -> Column:
     return (1 + (node - 1) * factor % size).cast("long")
 
 
+def reference(number: Column) -> Column:
+    """A scattered 32-bit reference: the low four bytes of 7919 times the number, signed."""
+    return F.shiftright(F.shiftleft((number * 7919).cast("long"), 32), 32).cast("int")
+
+
 def mixed_elements(spark: SparkSession, n: int) -> DataFrame:
     """(kind, id, nodes) of hexahedra, pyramids, prisms and tetrahedra in columns of cells; n is cut to a multiple of 3."""
     n = n // 3 * 3

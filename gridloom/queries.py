@@ -515,7 +515,7 @@ def mesh_renumber(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _moved(spark: SparkSession, sf_dir: str, how: renumber.Renumbering) -> DataFrame:
     m = Mixed(spark, sf_dir)
     points = m.points.withColumns({"grain": F.col("id") % 12, "color": F.col("id") % 12 % 3})
-    order, elements = renumber.renumbered_mesh(points, m.elements.withColumn("ref", (F.col("id") * 7919).cast("int")), how)
+    order, elements = renumber.renumbered_mesh(points, m.elements.withColumn("ref", fixtures.reference(F.col("id"))), how)
     vertices = order.select(F.lit("vertex").alias("kind"), "old_id", "new_id", F.lit(0).cast("long").alias("nodes"), "grain")
     return vertices.union(elements.select("kind", "old_id", "new_id", _nodes_sum(F.col("nodes")).alias("nodes"), "grain"))
 

@@ -37,6 +37,27 @@ def test_query_matches_its_sql(spark, duck, name):
     assert rows(df.collect()) == rows(want)
 
 
+@pytest.mark.parametrize("name", ["mesh_renumber_colors"])
+def test_renumbering_of_large_ids(spark, monkeypatch, name):
+    """Ids whose reference, 7919 times the id, does not fit an int."""
+    shift = 300_000
+
+    class Shifted(queries.Mixed):
+        def __init__(self, *args):
+            super().__init__(*args)
+            self.elements = self.elements.withColumn("id", F.col("id") + shift)
+
+    want = [(r.kind, r.old_id + shift * (r.kind != "vertex"), r.new_id, r.nodes, r.grain) for r in queries.QUERIES[name](spark, SF).collect()]
+    monkeypatch.setattr(queries, "Mixed", Shifted)
+    assert rows(queries.QUERIES[name](spark, SF).collect()) == rows(want)
+
+
+def test_references_are_the_low_four_bytes(spark):
+    ids = [0, 1, 271_182, 271_183, 542_366, 2_315_250, 1 << 40]
+    got = spark.createDataFrame([(i,) for i in ids], "id long").select("id", fixtures.reference(F.col("id")).alias("ref")).collect()
+    assert {r.id: r.ref for r in got} == {i: (i * 7919 + (1 << 31)) % (1 << 32) - (1 << 31) for i in ids}
+
+
 def test_closed_forms(spark):
     n = 4
     tets = fixtures.tetrahedra(spark, n)
