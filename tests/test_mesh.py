@@ -37,7 +37,7 @@ def test_query_matches_its_sql(spark, duck, name):
     assert rows(df.collect()) == rows(want)
 
 
-@pytest.mark.parametrize("name", ["mesh_renumber_colors", "mesh_renumber_mixed", "mesh_renumber_octree", "mesh_renumber_same"])
+@pytest.mark.parametrize("name", ["mesh_renumber_colors", "mesh_renumber_mixed", "mesh_renumber_octree", "mesh_renumber_same", "mesh_renumber_topological"])
 def test_renumbering_of_large_ids(spark, monkeypatch, name):
     """Ids whose reference, 7919 times the id, does not fit an int."""
     shift = 300_000
