@@ -63,7 +63,8 @@ def _folded(axes: list[Column], levels: int, digits: list[int], following: list[
     """The code of integer coordinates: a few levels a step, each step two lookups, without a loop at run time.
 
     A state is read by the next step's lookups alone, so the expression grows with the
-    square of the steps, of which there are eight at most.
+    square of the steps, of which there are eight at most. Spark computes its repeated parts
+    once, unless the code stands in a branch of a condition: put conditions on the coordinates.
     """
     dims = len(axes)
     width = 3 if dims == 3 else 4

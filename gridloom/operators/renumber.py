@@ -136,8 +136,12 @@ def renumbered_mesh(points: DataFrame, elements: DataFrame, how: Renumbering = R
     )
     moved = moved.withColumnRenamed("elem", "id").crossJoin(F.broadcast(box))
     volumes, faces = ([k.name for k in kinds] for kinds in (VOLUMES, FACE_KINDS))
-    own = sfc.hilbert_pair(F.array_min("nodes"), F.array_max("nodes")) if how.scheme == 4 else scheme_code(how.scheme, moved, at)
-    code = F.when(F.col("kind").isin(*volumes, *faces), own).otherwise(F.lit(0).cast("long"))
+    curved = F.col("kind").isin(*volumes, *faces)
+    if how.scheme == 4:
+        own = sfc.hilbert_pair(*(F.when(curved, f("nodes")).otherwise(F.lit(0)) for f in (F.array_min, F.array_max)))
+    else:
+        own = scheme_code(how.scheme, moved, at)
+    code = F.when(curved, own).otherwise(F.lit(0).cast("long")) if how.scheme in (2, 3) else own * curved.cast("long")  # no branch around a curve
     rank2 = F.when(F.col("kind").isin(*faces), sfc.ref_hash(F.col("ref"))).otherwise(F.lit(0).cast("long")) if how.gmlib == "generic" else F.lit(0).cast("long")
     keyed = moved.select("kind", "id", "nodes", "ref", "color", "grain", rank2.alias("rank2"), code.alias("code"))
     order = ranked(keyed, [F.col(c) for c in ("kind", "color", "grain", "rank2", "code", "id")], "place")

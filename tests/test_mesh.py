@@ -52,6 +52,34 @@ def test_renumbering_of_large_ids(spark, monkeypatch, name):
     assert rows(queries.QUERIES[name](spark, SF).collect()) == rows(want)
 
 
+@pytest.mark.parametrize("scheme", [0])
+def test_no_curve_code_stands_in_a_branch(spark, monkeypatch, scheme):
+    """Spark computes the repeated parts of a code once only outside the branches of a condition."""
+    plans = []
+
+    def seen(df, order, name="new_id"):
+        if name == "place":
+            plans.append(df._jdf.queryExecution().optimizedPlan())
+        return ranking.ranked(df, order, name)
+
+    monkeypatch.setattr(renumber, "ranked", seen)
+    points = spark.createDataFrame([(i, float(i % 2), float(i // 2 % 2), float(i // 4)) for i in range(8)], "id long, x double, y double, z double")
+    elements = spark.createDataFrame([("hex", 1, list(range(8))), ("tet", 1, [7, 2, 1, 4]), ("tet", 2, [0, 1, 2, 4]), ("edge", 1, [6, 7]), ("edge", 2, [0, 1])], "kind string, id long, nodes array<long>")
+    _, moved = renumber.renumbered_mesh(points, elements, renumber.Renumbering(scheme=scheme))
+    assert [(r.old_id, r.new_id) for r in moved.where("kind = 'edge'").sort("old_id").collect()] == [(1, 1), (2, 2)]
+
+    def under(e, branch=False):
+        """Whether one of the outermost array lookups stands in a branch."""
+        if e.nodeName() == "ElementAt":
+            return branch
+        inner = branch or e.nodeName() in ("If", "CaseWhen", "Coalesce")
+        return any(under(e.children().apply(i), inner) for i in range(e.children().size()))
+
+    curve = [e for e in (plans[0].expressions().apply(i) for i in range(plans[0].expressions().size())) if e.prettyName() == "alias" and e.name() == "code"]
+    assert len(curve) == 1 and "element_at" in curve[0].toString()
+    assert not under(curve[0])
+
+
 def test_references_are_the_low_four_bytes(spark):
     ids = [0, 1, 271_182, 271_183, 542_366, 2_315_250, 1 << 40]
     got = spark.createDataFrame([(i,) for i in ids], "id long").select("id", fixtures.reference(F.col("id")).alias("ref")).collect()
