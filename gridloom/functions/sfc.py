@@ -103,8 +103,8 @@ def hilbert_pair(a: Column, b: Column) -> Column:
     """
     least, largest = F.least(a, b), F.greatest(a, b)
     fits = (least >= 0) & (largest < 1 << LEVELS_2D)
-    code = _folded([a.cast("long"), b.cast("long")], LEVELS_2D, *machine(START_2D, TURN_2D))
-    return F.when(fits, code).otherwise(F.raise_error(F.lit("a node id does not fit the topological code")).cast("long"))
+    unfit = F.raise_error(F.lit("a node id does not fit the topological code")).cast("long")
+    return _folded([F.when(fits, c.cast("long")).otherwise(unfit) for c in (a, b)], LEVELS_2D, *machine(START_2D, TURN_2D))
 
 
 def z_curve(x: Column, y: Column, z: Column, box: list[Column]) -> Column:

@@ -52,7 +52,7 @@ def test_renumbering_of_large_ids(spark, monkeypatch, name):
     assert rows(queries.QUERIES[name](spark, SF).collect()) == rows(want)
 
 
-@pytest.mark.parametrize("scheme", [0, 1])
+@pytest.mark.parametrize("scheme", [0, 1, 4])
 def test_no_curve_code_stands_in_a_branch(spark, monkeypatch, scheme):
     """Spark computes the repeated parts of a code once only outside the branches of a condition."""
     plans = []
