@@ -15,6 +15,8 @@ from gridloom.operators.incidence import degrees, incidence
 from gridloom.session import stored
 from gridloom.topology import FACE_KINDS, KINDS, SLICES, TET_EDGES, VOLUMES
 
+SMALL_VERTICES, PART_VERTICES = 1 << 17, 1 << 14
+
 
 def bounding_box(points: DataFrame, *axes: str) -> DataFrame:
     """One row: lo and hi of each axis."""
@@ -112,6 +114,22 @@ def _vertex_rank2(points: DataFrame, elements: DataFrame, gmlib: str) -> DataFra
     return points.withColumn("rank2", F.lit(0))
 
 
+def _linked(links: DataFrame, vertices: DataFrame) -> DataFrame:
+    """links (kind, elem, ref, slot, node) with the columns of their vertices, exchanged by element if the vertices are many.
+
+    Only up to SMALL_VERTICES are broadcast: as files they are a few bytes a row, as a hash
+    relation over a hundred, so Spark's own limit on the files' size would take all memory.
+    Beyond, PART_VERTICES a task are hashed and links stream past them unsorted. Tasks are
+    counted here, as Spark would merge small ones until each core has just one.
+    """
+    named = vertices.withColumnRenamed("old_id", "node")
+    n = vertices.count()
+    if n <= SMALL_VERTICES:
+        return links.join(F.broadcast(named), "node")
+    parts = -(-n // PART_VERTICES)
+    return links.repartition(parts, "node").join(named.repartition(parts, "node").hint("shuffle_hash"), "node").repartition(parts, "kind", "elem")
+
+
 def renumbered_mesh(points: DataFrame, elements: DataFrame, how: Renumbering = Renumbering()) -> tuple[DataFrame, DataFrame]:
     """Vertices (old_id, new_id, color, grain) and elements (kind, old_id, new_id, nodes, ref, color, grain) in their new order.
 
@@ -127,7 +145,7 @@ def renumbered_mesh(points: DataFrame, elements: DataFrame, how: Renumbering = R
     coded = coded.withColumn("code", scheme_code(how.scheme, points, at)).drop(*(f"{c}_{n}" for n in ("lo", "hi") for c in "xyz"))
     vertices = stored(ranked(coded, [F.col(c) for c in ("color", "grain", "rank2", "code", "id")]).select(F.col("id").alias("old_id"), "new_id", "x", "y", "z", "color", "grain"), "vertices")
     ref = F.col("ref").cast("int") if "ref" in elements.columns else F.lit(0)
-    links = elements.select("kind", F.col("id").alias("elem"), ref.alias("ref"), F.posexplode("nodes").alias("slot", "node")).join(vertices.withColumnRenamed("old_id", "node"), "node")
+    links = _linked(elements.select("kind", F.col("id").alias("elem"), ref.alias("ref"), F.posexplode("nodes").alias("slot", "node")), vertices)
     first = F.col("slot") == 0
     moved = links.groupBy("kind", "elem", "ref").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("slot", "new_id"))), lambda s: s["new_id"]).alias("nodes"),  # a kind's nodes, 27 at most

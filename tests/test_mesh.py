@@ -80,6 +80,26 @@ def test_no_curve_code_stands_in_a_branch(spark, monkeypatch, scheme):
     assert not under(curve[0])
 
 
+@pytest.mark.parametrize("name", ["mesh_renumber_octree"])
+def test_many_vertices_are_not_broadcast(spark, duck, monkeypatch, name):
+    """Beyond a number of vertices, links meet theirs task by task; every row equals the SQL."""
+    plans = []
+
+    def seen(df, order, name="new_id"):
+        if name == "place":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return ranking.ranked(df, order, name)
+
+    monkeypatch.setattr(renumber, "ranked", seen)
+    monkeypatch.setattr(renumber, "SMALL_VERTICES", 78, raising=False)
+    monkeypatch.setattr(renumber, "PART_VERTICES", 30, raising=False)
+    df = queries.QUERIES[name](spark, SF)
+    joins = [line.split("Join")[0].split()[-1] for line in plans[0].splitlines() if "Join [node" in line]
+    assert joins == ["ShuffledHash"]
+    want = duck.sql(f"select {', '.join(chr(34) + c + chr(34) for c in df.columns)} from ({oracles.oracle_sql()[name]})").fetchall()
+    assert rows(df.collect()) == rows(want)
+
+
 def test_references_are_the_low_four_bytes(spark):
     ids = [0, 1, 271_182, 271_183, 542_366, 2_315_250, 1 << 40]
     got = spark.createDataFrame([(i,) for i in ids], "id long").select("id", fixtures.reference(F.col("id")).alias("ref")).collect()
