@@ -80,7 +80,7 @@ def test_no_curve_code_stands_in_a_branch(spark, monkeypatch, scheme):
     assert not under(curve[0])
 
 
-@pytest.mark.parametrize("name", ["mesh_renumber_octree"])
+@pytest.mark.parametrize("name", ["mesh_renumber_octree", "mesh_renumber_same"])
 def test_many_vertices_are_not_broadcast(spark, duck, monkeypatch, name):
     """Beyond a number of vertices, links meet theirs task by task; every row equals the SQL."""
     plans = []
