@@ -137,6 +137,8 @@ def renumbered_mesh(points: DataFrame, elements: DataFrame, how: Renumbering = R
     and, for references, ref. Every kind is numbered from 1. Codes of points and of
     barycentres are taken in the box of the points. One exchange by element replaces nodes
     and makes barycentres at once; edges and quadratic kinds are ordered by their old ids.
+    Nodes are gathered a column a slot, in rows of one size that are hashed; lists would be
+    sorted link by link, with each link's own list, and fill the heap of many tasks.
     """
     box = bounding_box(points, "x", "y", "z")
     at = [F.col(f"{c}_{n}") for n in ("lo", "hi") for c in "xyz"]
@@ -147,8 +149,9 @@ def renumbered_mesh(points: DataFrame, elements: DataFrame, how: Renumbering = R
     ref = F.col("ref").cast("int") if "ref" in elements.columns else F.lit(0)
     links = _linked(elements.select("kind", F.col("id").alias("elem"), ref.alias("ref"), F.posexplode("nodes").alias("slot", "node")), vertices)
     first = F.col("slot") == 0
+    width = elements.agg(F.max(F.size("nodes"))).first()[0] or 0
     moved = links.groupBy("kind", "elem", "ref").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("slot", "new_id"))), lambda s: s["new_id"]).alias("nodes"),  # a kind's nodes, 27 at most
+        F.array_compact(F.array(*(F.max(F.when(F.col("slot") == i, F.col("new_id"))) for i in range(max(width, 1))))).alias("nodes"),
         *(F.avg(c).alias(c) for c in "xyz"),
         *(F.max(F.when(first, F.col(c))).alias(c) for c in ("color", "grain")),
     )

@@ -100,6 +100,26 @@ def test_many_vertices_are_not_broadcast(spark, duck, monkeypatch, name):
     assert rows(df.collect()) == rows(want)
 
 
+def test_nodes_are_gathered_without_lists(spark, monkeypatch):
+    """Lists of nodes would be sorted link by link, which filled the heap of many tasks; every width keeps its order."""
+    plans = []
+
+    def seen(df, order, name="new_id"):
+        if name == "place":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return ranking.ranked(df, order, name)
+
+    monkeypatch.setattr(renumber, "ranked", seen)
+    points = spark.createDataFrame([(i, float(-i), 0.0, 0.0) for i in range(1, 31)], "id long, x double, y double, z double")
+    wide = [("edge", 1, [30, 1]), ("edge", 2, [7, 7]), ("hex2", 1, list(range(27, 0, -1))), ("tet", 1, [9, 3, 12, 5])]
+    elements = spark.createDataFrame(wide, "kind string, id long, nodes array<long>")
+    _, moved = renumber.renumbered_mesh(points, elements, renumber.Renumbering(scheme=3))
+    assert sorted((r.kind, r.new_id, r.nodes) for r in moved.collect()) == wide
+    assert "HashAggregate" in plans[0] and "ObjectHashAggregate" not in plans[0] and "collect_list" not in plans[0]
+    _, none = renumber.renumbered_mesh(points, elements.where("false"), renumber.Renumbering(scheme=3))
+    assert none.collect() == []
+
+
 def test_references_are_the_low_four_bytes(spark):
     ids = [0, 1, 271_182, 271_183, 542_366, 2_315_250, 1 << 40]
     got = spark.createDataFrame([(i,) for i in ids], "id long").select("id", fixtures.reference(F.col("id")).alias("ref")).collect()
