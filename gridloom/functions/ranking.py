@@ -13,15 +13,16 @@ def div(a: Column, b: Column | int) -> Column:
     return F.call_function("div", a, F.lit(b) if isinstance(b, int) else b)
 
 
-def ranked(df: DataFrame, order: list[Column], name: str = "new_id") -> DataFrame:
-    """df with its 1-based rank by `order`.
+def ranked(df: DataFrame, order: list[Column], name: str = "new_id", ranges: int = 0) -> DataFrame:
+    """df with its 1-based rank by `order`; ranges: how many, as the session has it if 0.
 
     Rows go to ranges of the whole order, whose ends Spark samples, so clustered or skewed
     keys spread as evenly as others; a row's place in its sorted range, plus the sizes of
     the ranges before, is its rank. The sorted ranges are stored once: a lost task cannot
     cut them anew. Only the ranges' sizes pass through one task.
     """
-    rows = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "ranked")
+    dealt = df.repartitionByRange(ranges, *order) if ranges else df.repartitionByRange(*order)
+    rows = stored(dealt.sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "ranked")
     part = F.shiftright("__at", 33)
     counts = rows.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

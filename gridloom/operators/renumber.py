@@ -16,6 +16,8 @@ from gridloom.session import stored
 from gridloom.topology import FACE_KINDS, KINDS, SLICES, TET_EDGES, VOLUMES
 
 SMALL_VERTICES, PART_VERTICES = 1 << 17, 1 << 14
+#: Up to 200 partitions Spark's shuffles keep a file with its buffers open for each, in every task and beyond its memory's accounts.
+LEAST_PARTS, MANY_ROWS = 201, 1 << 17
 
 
 def bounding_box(points: DataFrame, *axes: str) -> DataFrame:
@@ -126,7 +128,7 @@ def _linked(links: DataFrame, vertices: DataFrame) -> DataFrame:
     n = vertices.count()
     if n <= SMALL_VERTICES:
         return links.join(F.broadcast(named), "node")
-    parts = -(-n // PART_VERTICES)
+    parts = max(LEAST_PARTS, -(-n // PART_VERTICES))
     return links.repartition(parts, "node").join(named.repartition(parts, "node").hint("shuffle_hash"), "node").repartition(parts, "kind", "elem")
 
 
@@ -141,11 +143,13 @@ def renumbered_mesh(points: DataFrame, elements: DataFrame, how: Renumbering = R
     sorted link by link, with each link's own list, and fill the heap of many tasks.
     """
     box = bounding_box(points, "x", "y", "z")
+    n = points.count()
+    many = {"ranges": max(LEAST_PARTS, -(-n // PART_VERTICES))} if n > MANY_ROWS else {}
     at = [F.col(f"{c}_{n}") for n in ("lo", "hi") for c in "xyz"]
     colors = [F.col(c).cast("long").alias(c) if how.colors else F.lit(0).cast("long").alias(c) for c in ("color", "grain")]
     coded = _vertex_rank2(points.select("id", "x", "y", "z", *colors), elements, how.gmlib).crossJoin(F.broadcast(box))  # the box is one row
     coded = coded.withColumn("code", scheme_code(how.scheme, points, at)).drop(*(f"{c}_{n}" for n in ("lo", "hi") for c in "xyz"))
-    vertices = stored(ranked(coded, [F.col(c) for c in ("color", "grain", "rank2", "code", "id")]).select(F.col("id").alias("old_id"), "new_id", "x", "y", "z", "color", "grain"), "vertices")
+    vertices = stored(ranked(coded, [F.col(c) for c in ("color", "grain", "rank2", "code", "id")], **many).select(F.col("id").alias("old_id"), "new_id", "x", "y", "z", "color", "grain"), "vertices")
     ref = F.col("ref").cast("int") if "ref" in elements.columns else F.lit(0)
     links = _linked(elements.select("kind", F.col("id").alias("elem"), ref.alias("ref"), F.posexplode("nodes").alias("slot", "node")), vertices)
     first = F.col("slot") == 0
@@ -165,7 +169,7 @@ def renumbered_mesh(points: DataFrame, elements: DataFrame, how: Renumbering = R
     code = F.when(curved, own).otherwise(F.lit(0).cast("long")) if how.scheme in (2, 3) else own * curved.cast("long")  # no branch around a curve
     rank2 = F.when(F.col("kind").isin(*faces), sfc.ref_hash(F.col("ref"))).otherwise(F.lit(0).cast("long")) if how.gmlib == "generic" else F.lit(0).cast("long")
     keyed = moved.select("kind", "id", "nodes", "ref", "color", "grain", rank2.alias("rank2"), code.alias("code"))
-    order = ranked(keyed, [F.col(c) for c in ("kind", "color", "grain", "rank2", "code", "id")], "place")
+    order = ranked(keyed, [F.col(c) for c in ("kind", "color", "grain", "rank2", "code", "id")], "place", **many)
     before = order.groupBy("kind").agg((F.min("place") - 1).alias("before"))  # one row a kind
     numbered = order.join(F.broadcast(before), "kind").select("kind", F.col("id").alias("old_id"), (F.col("place") - F.col("before")).alias("new_id"), "nodes", "ref", "color", "grain")
     return vertices.select("old_id", "new_id", "color", "grain"), numbered

@@ -120,6 +120,26 @@ def test_nodes_are_gathered_without_lists(spark, monkeypatch):
     assert none.collect() == []
 
 
+def test_many_rows_go_to_parts_of_managed_shuffles(spark, monkeypatch):
+    """Beyond a number of rows both rankings name their ranges, more than 200 of them, whatever the session's number."""
+    assert renumber.LEAST_PARTS > 200
+    ranges = []
+
+    def seen(df, order, name="new_id", **how):
+        ranges.append(how.get("ranges"))
+        return ranking.ranked(df, order, name, **how)
+
+    monkeypatch.setattr(renumber, "ranked", seen)
+    for name, most in (("MANY_ROWS", 20), ("SMALL_VERTICES", 20), ("LEAST_PARTS", 11)):
+        monkeypatch.setattr(renumber, name, most)
+    points = spark.createDataFrame([(i, float(-i), 0.0, 0.0) for i in range(1, 31)], "id long, x double, y double, z double")
+    wide = [("edge", i, [i, i + 1]) for i in range(1, 30)]
+    order, moved = renumber.renumbered_mesh(points, spark.createDataFrame(wide, "kind string, id long, nodes array<long>"), renumber.Renumbering(scheme=3))
+    assert ranges == [11, 11]
+    assert sorted((r.old_id, r.new_id) for r in order.collect()) == [(i, i) for i in range(1, 31)]
+    assert sorted((r.kind, r.new_id, r.nodes) for r in moved.collect()) == wide
+
+
 def test_references_are_the_low_four_bytes(spark):
     ids = [0, 1, 271_182, 271_183, 542_366, 2_315_250, 1 << 40]
     got = spark.createDataFrame([(i,) for i in ids], "id long").select("id", fixtures.reference(F.col("id")).alias("ref")).collect()
